@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setloom.llm import byte_bpe, chat_format, quality_rules
+from setloom.llm import byte_bpe, chat_format, license_scan, pii, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op3_chat_format": chat_format.op3_chat_format,
+    "op6_pii": pii.op6_pii,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
