@@ -43,7 +43,8 @@ def materialize(df: DataFrame) -> DataFrame:
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, list] | None]], rows: int = 2048) -> DataFrame:
     """Run a Python function over column lists of at most ``rows`` rows, through Arrow.
 
-    ``make`` is called once per task and gives the function; a value of None gives no rows.
+    ``make`` is called once per task and gives the function; a value of None gives no rows. If the function
+    has an attribute ``finish``, that is called after the task's last rows and may give more.
     """
     spark_schema = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -52,12 +53,15 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
+        packed = lambda out: pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 out = f({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 if out is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
+                    yield packed(out)
+        if hasattr(f, "finish") and (out := f.finish()) is not None:
+            yield packed(out)
 
     return df.mapInArrow(run, spark_schema)
 
@@ -70,3 +74,25 @@ def parallelism(spark: SparkSession) -> int:
 def text_or_empty(name: str = "text"):
     """The text column with null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+#: Digits, small ASCII letters and every byte outside ASCII stay, capitals become small, all else parts words.
+_WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def lower_words(text: str | None) -> list[bytes]:
+    """The words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of a text with A-Z in lower case, as UTF-8."""
+    return (text or "").encode().translate(_WORD_BYTES).split()
+
+
+def by_size(texts: list[bytes], most: int = 4_000_000) -> Iterator[list[bytes]]:
+    """The texts in their order, in groups of ``most`` bytes or one text."""
+    group, size = [], 0
+    for t in texts:
+        if group and size + len(t) > most:
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    if group:
+        yield group

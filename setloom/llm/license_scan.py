@@ -21,16 +21,14 @@ columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setloom.llm.common import map_batches, table, text_or_empty
+from setloom.llm.common import lower_words, map_batches, table, text_or_empty
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Phrases of the base labels. Fixed values.
 PHRASES = {"mit": ("under the mit license",), "apache-2": ("apache license version 2",), "cc-by-nc": ("cc by nc",)}
 #: Opening words of common license notices. Fixed values.
@@ -55,20 +53,14 @@ TEMPLATES = {
     "mpl-2": ("this source code form is subject to the terms of the mozilla public license v 2.0",),
     "unlicense": ("this is free and unencumbered software released into the public domain",),
 }
-_UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-
-
-def words_of(text: str | None) -> list[str]:
-    """Words of a text, with A-Z in lower case."""
-    return WORD.findall((text or "").translate(_UPPER) if not (text or "").isascii() else (text or "").lower())
 
 
 class Index:
     """The templates' prefix index. ``frequency``: documents by word; words without one count as rarest."""
 
-    def __init__(self, templates: dict[str, tuple[str, ...]], phrases: dict[str, tuple[str, ...]], threshold: float, frequency: dict[str, int]):
-        listed = [(label, words_of(t), threshold, False) for label, ts in templates.items() for t in ts]
-        listed += [(label, words_of(t), 1.0, True) for label, ts in phrases.items() for t in ts]
+    def __init__(self, templates: dict[str, tuple[str, ...]], phrases: dict[str, tuple[str, ...]], threshold: float, frequency: dict[bytes, int]):
+        listed = [(label, lower_words(t), threshold, False) for label, ts in templates.items() for t in ts]
+        listed += [(label, lower_words(t), 1.0, True) for label, ts in phrases.items() for t in ts]
         self.order = {w: k for k, w in enumerate(sorted({w for x in listed for w in x[1]}, key=lambda w: (frequency.get(w, 0), w)))}
         self.by_prefix: dict[int, list[int]] = {}
         self.entries = []
@@ -83,7 +75,7 @@ class Index:
         self.starts_any = np.zeros(len(self.order) + 1, bool)
         self.starts_any[list(self.by_prefix)] = True
 
-    def matches(self, words: list[str]) -> list[tuple[str, bool, int, int, float]]:
+    def matches(self, words: list[bytes]) -> list[tuple[str, bool, int, int, float]]:
         """(label, is a phrase's place, first word, end word, containment) of every match, in order."""
         get = self.order.get
         ids = np.array([get(w, -1) for w in words], np.int64)
@@ -114,25 +106,25 @@ class Index:
         return sorted(found.values(), key=lambda m: (m[2], m[3], m[0], m[1]))
 
 
-def word_frequency(docs: DataFrame, words: set[str], text_col: str = "text") -> dict[str, int]:
+def word_frequency(docs: DataFrame, words: set[bytes], text_col: str = "text") -> dict[bytes, int]:
     """How many documents hold each of the given words; counts are summed per task before the shuffle."""
 
     def start():
         def run(cols):
             n = Counter()
             for t in cols["t"]:
-                n.update(words.intersection(words_of(t)))
+                n.update(words.intersection(lower_words(t)))
             return {"word": list(n), "n": list(n.values())} if n else None
 
         return run
 
-    rows = map_batches(docs.select(text_or_empty(text_col).alias("t")), "word string, n bigint", start)
-    return {r.word: r.n for r in rows.groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    rows = map_batches(docs.select(text_or_empty(text_col).alias("t")), "word binary, n bigint", start)
+    return {bytes(r.word): r.n for r in rows.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, phrases: dict[str, tuple[str, ...]] = PHRASES, threshold: float = 0.8) -> DataFrame:
     """One row per document: key, ``n_words`` and ``matches``, an array of (label, phrase, first_word, end_word, containment)."""
-    vocabulary = {w for group in (templates, phrases) for ts in group.values() for t in ts for w in words_of(t)}
+    vocabulary = {w for group in (templates, phrases) for ts in group.values() for t in ts for w in lower_words(t)}
     frequency = word_frequency(docs, vocabulary, text_col)
 
     def start():
@@ -140,7 +132,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text_col: str = "text", templates
         fields = ("label", "phrase", "first_word", "end_word", "containment")
 
         def run(cols):
-            words = [words_of(t) for t in cols["t"]]
+            words = [lower_words(t) for t in cols["t"]]
             return {key: cols[key], "n_words": list(map(len, words)), "matches": [[dict(zip(fields, m)) for m in index.matches(w)] for w in words]}
 
         return run

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setloom.llm import byte_bpe, chat_format, license_scan, pii, quality_rules
+from setloom.llm import byte_bpe, chat_format, decontaminate, license_scan, pii, quality_rules, suffix_tree_lm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op3_chat_format": chat_format.op3_chat_format,
+    "op4_lm_score": suffix_tree_lm.op4_lm_score,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_pii": pii.op6_pii,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
