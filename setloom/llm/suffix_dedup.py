@@ -11,12 +11,14 @@ kept. Instead:
    the fingerprint of what they start): a new batch is sorted, merge-scanned against the existing levels, and
    then merged with them while the last level isn't much larger. A run that an earlier document has as well
    is removed as a whole; a minimizer that stands in different runs sends those to step 3.
-3. The single windows of those runs go through indexes of the same kind, dealt by window.
+3. The bytes of those runs go to indexes by minimizer, which index every window that starts in them. Runs of
+   a minimizer with more than ``CROWD`` different runs go by their single windows instead.
 4. Each document gets its removed runs and windows and gives its result.
 
 A task only sends one row for equal runs or windows of its documents (the later ones are known to be
-removed), and at most ``SPREAD`` runs of one minimizer (the rest go to step 3 at once), so a passage that is
-everywhere loads an index with a few rows from each task. Fingerprints have 64 bits; a wrong removal needs
+removed), and at most ``SPREAD`` runs of one minimizer (the rest go to step 3 at once, and with them all
+others of that minimizer, by their windows), so a passage that is everywhere loads an index with a few rows
+from each task. Fingerprints have 64 bits; a wrong removal needs
 two windows to agree in it.
 
 A null id counts as larger than all others; documents of equal id don't affect each other. Null and empty
@@ -26,7 +28,7 @@ texts have no bytes. Other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,8 @@ from setloom.llm.common import materialize, parallelism, table, text_or_empty
 
 #: Length of the strings that count as repeated, in bytes, and of the grams that minimizers are chosen from.
 LENGTH, GRAM = 50, 24
-SPREAD = 64
+#: Most different runs of one minimizer that a task sends, and that an index compares by their bytes.
+SPREAD, CROWD = 64, 4096
 _U = np.uint64
 _BYTE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _B = 0x9E3779B97F4A7C15
@@ -77,6 +80,11 @@ class Windows:
         self.minimizers = least[starts]
         self.runs = _mix(_mix(self.at(starts)) * _U(3) + self.at(ends - 1) + (ends - starts).astype(np.uint64) * _U(_B))
 
+    def slim(self) -> Windows:
+        """Without what only single windows need."""
+        self.h2 = self.h16 = None
+        return self
+
     def at(self, i: np.ndarray) -> np.ndarray:
         """Fingerprints of the windows that start at i."""
         return _mix(self.h16[i] * _P[34] + self.h16[i + 16] * _P[18] + self.h16[i + 32] * _P[2] + self.h2[i + 48])
@@ -123,8 +131,9 @@ _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.b
 _PACKED_SQL = "bucket int, kind int, keys binary, docs binary, more binary"
 _REPLY = pa.schema([("doc", pa.int64()), ("kind", pa.int32()), ("key", pa.int64())])
 _REPLY_SQL = "doc bigint, kind int, key bigint"
-#: Kinds of rows: for an index; a run removed; a run whose windows must be looked at; a window removed.
-INDEX, RUN, OPEN, WINDOW = 0, 1, 2, 3
+#: Kinds of rows: for an index; a run removed; a run to be compared by its bytes; a window removed; a run to be
+#: compared by its windows; bytes of runs for an index.
+INDEX, RUN, OPEN, WINDOW, CROWDED, BYTES = 0, 1, 2, 3, 4, 5
 
 
 def _packed(rows: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -147,53 +156,105 @@ def _pack_runs(runs, docs, minimizers, buckets, salt):
     runs, docs, minimizers = runs[first], docs[first], minimizers[first]
     head = np.concatenate(([True], minimizers[1:] != minimizers[:-1]))
     nth = np.arange(len(runs)) - np.maximum.accumulate(np.where(head, np.arange(len(runs)), 0))
-    out += _spread(OPEN, runs[nth >= SPREAD], docs[nth >= SPREAD], buckets, salt + 1)
-    runs, docs, minimizers = runs[nth < SPREAD], docs[nth < SPREAD], minimizers[nth < SPREAD]
-    return out + _dealt((minimizers >> _U(32)) % _U(buckets), runs, docs, minimizers.astype(np.uint32))
+    out += _spread(CROWDED, runs[nth >= SPREAD], docs[nth >= SPREAD], buckets, salt + 1)
+    over = np.zeros(len(runs), bool)
+    over[np.maximum.accumulate(np.where(head, np.arange(len(runs)), 0))[nth == SPREAD]] = True  # told by the minimizer's first run
+    few = nth < SPREAD
+    runs, docs, minimizers, over = runs[few], docs[few], minimizers[few], over[few]
+    return out + _dealt(_bucket(minimizers, buckets), runs, docs, (minimizers.astype(np.uint32) & ~np.uint32(1)) | over)
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys >> _U(32)) % _U(buckets)
 
 
-def _pack_windows(keys, docs, _, buckets, salt):
+def _pack_windows(keys, docs, buckets, salt):
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     first = np.concatenate(([True], keys[1:] != keys[:-1]))
     owner = docs[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
     out = _spread(WINDOW, keys[docs > owner], docs[docs > owner], buckets, salt)
     keys, docs = keys[first], docs[first]
-    return out + _dealt((keys >> _U(32)) % _U(buckets), keys, docs, np.zeros(len(keys), np.uint8))
+    return out + _dealt(_bucket(keys, buckets), keys, docs, np.zeros(len(keys), np.uint8))
 
 
 def _dealt(bucket, keys, docs, more):
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((docs, bucket))  # by document, so that ids compress
     bucket, keys, docs, more = bucket[order], keys[order], docs[order], more[order]
     cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)])) if len(bucket) else np.zeros(1, np.int64)
     return [(int(bucket[a]), INDEX, keys[a:b], docs[a:b], more[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
-def _send(df: DataFrame, extract: Callable, pack: Callable, buckets: int, most: int = 1_500_000) -> DataFrame:
-    """Rows for the indexes: ``extract`` gives keys and more for a row; ``pack`` deals what a task gathered."""
+def _send_runs(docs: DataFrame, buckets: int, most: int = 1_500_000) -> DataFrame:
+    """Step 2: the runs of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size, salt = [], 0, 0
 
         def flushed():
-            docs = np.concatenate([np.full(len(k), d, np.int64) for d, k, _ in parts])
-            return _packed(rows) if (rows := pack(np.concatenate([k for _, k, _ in parts]), docs, np.concatenate([m for _, _, m in parts]), buckets, salt)) else None
+            ids = np.concatenate([np.full(len(w.runs), d, np.int64) for d, w in parts])
+            return _packed(_pack_runs(np.concatenate([w.runs for _, w in parts]), ids, np.concatenate([w.minimizers for _, w in parts]), buckets, salt))
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-                keys, more = extract(*row)
-                if not len(keys):
-                    continue
-                parts.append((row[0], keys, more))
-                size += len(keys)
+            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = Windows(t.encode()).slim()
+                if w.n:
+                    parts.append((doc, w))
+                    size += len(w.runs)
                 if size >= most:
-                    if (out := flushed()) is not None:
-                        yield out
+                    yield flushed()
                     parts, size, salt = [], 0, salt + 7
-        if parts and (out := flushed()) is not None:
-            yield out
+        if parts:
+            yield flushed()
+
+    return docs.select("doc", "t").mapInArrow(run, _PACKED_SQL)
+
+
+def _send_open(opened: DataFrame, buckets: int, most: int = 1_000_000) -> DataFrame:
+    """Step 3: bytes or windows of the runs asked for (doc, t, open, crowded)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, windows, size, salt = [], [], 0, 0
 
-    return df.mapInArrow(run, _PACKED_SQL)
+        def flushed():
+            rows = []
+            if windows:
+                rows += _pack_windows(np.concatenate([k for _, k in windows]), np.concatenate([np.full(len(k), d, np.int64) for d, k in windows]), buckets, salt)
+            by_bucket: dict[int, list[tuple[int, bytes]]] = {}
+            for bucket, doc, piece in texts:
+                by_bucket.setdefault(bucket, []).append((doc, piece))
+            for bucket, some in by_bucket.items():
+                rows.append((bucket, BYTES, np.frombuffer(b"".join(x for _, x in some), np.uint8), np.array([d for d, _ in some], np.int64), np.array([len(x) for _, x in some], np.uint32)))
+            return _packed(rows)
+
+        for batch in batches:
+            for doc, t, by_bytes, by_windows in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                raw = t.encode()
+                w = Windows(raw)
+                at = np.flatnonzero(np.isin(w.runs.view(np.int64), np.array(by_bytes, np.int64)))
+                at = at[np.unique(w.runs[at], return_index=True)[1]]
+                texts += [(b, doc, raw[x : y + LENGTH - 1]) for b, x, y in zip(_bucket(w.minimizers[at], buckets).tolist(), w.starts[at].tolist(), w.ends[at].tolist())]
+                size += len(at)
+                if by_windows:
+                    at = np.flatnonzero(np.isin(w.runs.view(np.int64), np.array(by_windows, np.int64)))
+                    keys = np.unique(w.at(np.concatenate([np.arange(x, y) for x, y in zip(w.starts[at].tolist(), w.ends[at].tolist())])))
+                    windows.append((doc, keys))
+                    size += len(keys)
+                if size >= most:
+                    yield flushed()
+                    texts, windows, size, salt = [], [], 0, salt + 7
+        if texts or windows:
+            yield flushed()
+
+    return opened.select("doc", "t", "open", "crowded").mapInArrow(run, _PACKED_SQL)
+
+
+def _window_keys(pieces: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all windows of joined pieces, and each one's piece."""
+    starts = np.cumsum(lengths) - lengths
+    count = lengths - LENGTH + 1
+    at = np.repeat(starts - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    return Windows(pieces).at(at), np.repeat(np.arange(len(lengths)), count)
 
 
 def _indexed(sent: DataFrame, buckets: int, runs: bool) -> DataFrame:
@@ -211,8 +272,11 @@ def _indexed(sent: DataFrame, buckets: int, runs: bool) -> DataFrame:
 
         for batch in batches:
             for bucket, kind, keys, docs, more in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                keys, docs = np.frombuffer(keys, np.uint64), np.frombuffer(docs, np.int64)
-                if kind != INDEX:
+                keys, docs = np.frombuffer(keys, np.uint8 if kind == BYTES else np.uint64), np.frombuffer(docs, np.int64)
+                if kind == BYTES:
+                    keys, piece = _window_keys(keys.tobytes(), np.frombuffer(more, np.uint32).astype(np.int64))
+                    docs, more = docs[piece], b""
+                elif kind != INDEX:
                     yield reply(kind, docs, keys)
                     continue
                 parts.append((keys, docs, (np.frombuffer(more, np.uint32).astype(np.uint64) | (_U(bucket) << _U(32))) if runs else np.zeros(len(keys), np.uint64)))
@@ -223,39 +287,25 @@ def _indexed(sent: DataFrame, buckets: int, runs: bool) -> DataFrame:
         if parts:
             yield added()
         if runs:
-            keys, docs, minimizers = index.all()
-            order = np.argsort(minimizers, kind="stable")
-            m = minimizers[order]
-            same = m[1:] == m[:-1]
-            several = order[np.concatenate((same, [False]))[: len(m)] | np.concatenate(([False], same))[: len(m)]]
-            for at in range(0, len(several), 500_000):
-                yield reply(OPEN, docs[several[at : at + 500_000]], keys[several[at : at + 500_000]])
+            keys, docs, more = index.all()
+            minimizers, group, n = np.unique(more >> _U(1), return_inverse=True, return_counts=True)
+            crowded = (n > CROWD) | (np.bincount(group, (more & _U(1)).astype(np.int64), len(n)) > 0 if len(n) else n > CROWD)
+            for kind, which in ((CROWDED, crowded[group]), (OPEN, ~crowded[group] & (n[group] > 1))):
+                found = np.flatnonzero(which)
+                for at in range(0, len(found), 500_000):
+                    yield reply(kind, docs[found[at : at + 500_000]], keys[found[at : at + 500_000]])
 
     return sent.repartition(parallelism(sent.sparkSession), "bucket").mapInArrow(run, _REPLY_SQL)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and removed (array of start, end in bytes)."""
-    spark = docs.sparkSession
-    buckets = max(2048, 8 * parallelism(spark))
+    buckets = max(2048, 8 * parallelism(docs.sparkSession))
     docs = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), text_or_empty().alias("t"), "doc_id")
 
-    def run_keys(doc, t):
-        w = Windows(t.encode())
-        return w.runs, w.minimizers
-
-    replies = materialize(_indexed(_send(docs.select("doc", "t"), run_keys, _pack_runs, buckets), buckets, True))
-    by_doc = lambda df: df.groupBy("doc").agg(F.collect_set("key").alias("keys"))
-    opened = docs.join(by_doc(replies.where(F.col("kind") == OPEN)), "doc").select("doc", "t", "keys")
-
-    def window_keys(doc, t, keys):
-        w = Windows(t.encode())
-        wanted = np.isin(w.runs.view(np.int64), np.array(keys, np.int64))
-        at = [np.arange(a, b) for a, b in zip(w.starts[wanted].tolist(), w.ends[wanted].tolist())]
-        found = np.unique(w.at(np.concatenate(at))) if at else np.zeros(0, np.uint64)
-        return found, np.zeros(len(found), np.uint8)
-
-    single = _indexed(_send(opened, window_keys, _pack_windows, buckets), buckets, False)
+    replies = materialize(_indexed(_send_runs(docs, buckets), buckets, True))
+    asked = replies.where(F.col("kind").isin(OPEN, CROWDED)).groupBy("doc").agg(*(F.collect_set(F.when(F.col("kind") == k, F.col("key"))).alias(n) for k, n in ((OPEN, "open"), (CROWDED, "crowded"))))
+    single = _indexed(_send_open(docs.join(asked, "doc"), buckets), buckets, False)
     removed = replies.where(F.col("kind") == RUN).unionByName(single).groupBy("doc").agg(F.collect_set(F.when(F.col("kind") == RUN, F.col("key"))).alias("runs"), F.collect_set(F.when(F.col("kind") == WINDOW, F.col("key"))).alias("windows"))
     out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<start: bigint, end: bigint>>"
 
