@@ -177,11 +177,13 @@ def train(counts: DataFrame, depth: int, least: float, gain: float) -> SuffixTre
     codes = counts.where("code IS NOT NULL")
     total = codes.agg(F.sum("n")).first()[0] or 0
     rows = codes.select("n", F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(ctx).alias("ctx"), (F.shiftright("code", 8 * ctx).bitwiseAND(F.lit((1 << 8 * (d + 1 - ctx)) - 1))).alias("key")) for d in range(depth + 1) for ctx in (0, 1)))).alias("x"))
-    kept = rows.groupBy("x.d", "x.ctx", "x.key").agg(F.sum("n").alias("n")).where(F.col("n") >= least * total).toPandas()
+    kept = rows.groupBy("x.d", "x.ctx", "x.key").agg(F.sum("n").alias("n")).where(F.col("n") >= least * total).toArrow()
+    d_of, ctx_of, key_of, n_of = (kept.column(c).to_numpy() for c in ("d", "ctx", "key", "n"))
 
     def part(d, ctx):
-        x = kept[(kept.d == d) & (kept.ctx == ctx)].sort_values("key")
-        return x.key.to_numpy(np.uint64), x.n.to_numpy(np.int64)
+        x = np.flatnonzero((d_of == d) & (ctx_of == ctx))
+        x = x[np.argsort(key_of[x])]
+        return key_of[x].astype(np.uint64), n_of[x].astype(np.int64)
 
     return SuffixTree(depth, [part(d, 1) for d in range(depth + 1)], [part(d, 0) for d in range(depth + 1)], gain)
 
@@ -193,8 +195,8 @@ def score_documents(docs: DataFrame, depth: int = 5, least: float = 2e-7, gain:
     counts = count_corpus(docs.withColumnRenamed("t", "text"), depth)
     words = counts.where("word IS NOT NULL").select("word", F.col("n").alias("c"))
     distinct, total = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    common = words.where(F.col("c") >= least_word * total).toPandas()
-    shared = spark.sparkContext.broadcast((train(counts, depth, least, gain), dict(zip(map(bytes, common.word), common.c.tolist()))))
+    common = words.where(F.col("c") >= least_word * total).toArrow()
+    shared = spark.sparkContext.broadcast((train(counts, depth, least, gain), dict(zip(common.column("word").to_pylist(), common.column("c").to_pylist()))))
     scale = total + 0.1 * (distinct + 1)
 
     def start():
