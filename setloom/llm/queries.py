@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setloom.llm import byte_bpe, chat_format, decontaminate, jaccard_join, license_scan, pii, quality_rules, suffix_dedup, suffix_tree_lm
+from setloom.llm import byte_bpe, chat_format, decontaminate, jaccard_join, license_scan, pii, quality_classifier, quality_rules, suffix_dedup, suffix_tree_lm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_lm_score": suffix_tree_lm.op4_lm_score,
     "op5_decontaminate": decontaminate.op5_decontaminate,
