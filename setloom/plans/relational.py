@@ -90,7 +90,7 @@ shared("a19_first_second_gap", "WITH r AS (SELECT dj_id, played_on, row_number()
        "WITH r AS (SELECT dj_id, played_on, row_number() OVER (PARTITION BY dj_id ORDER BY played_on, set_id) AS k FROM sets) SELECT dj_id, date_diff('day', max(CASE WHEN k = 1 THEN played_on END), max(CASE WHEN k = 2 THEN played_on END)) / 30.4E0 AS months FROM r GROUP BY dj_id HAVING count(*) >= 2")
 shared("a20_eta_squared", "WITH x AS (SELECT kind, votes, avg(votes) OVER (PARTITION BY kind) AS gm, avg(votes) OVER () AS m FROM votes WHERE votes IS NOT NULL) SELECT round(sum((gm - m) * (gm - m)) / sum((votes - m) * (votes - m)), 6) AS eta2 FROM x")
 shared("a21_cramers_v", "WITH o AS (SELECT genre, setting, count(*) AS n FROM sets GROUP BY genre, setting), r AS (SELECT genre, sum(n) AS rn FROM o GROUP BY genre), c AS (SELECT setting, sum(n) AS cn FROM o GROUP BY setting), t AS (SELECT sum(n) AS tn FROM o), e AS (SELECT coalesce(o.n, 0) AS n, r.rn * c.cn / CAST(t.tn AS DOUBLE) AS want, t.tn FROM r CROSS JOIN c CROSS JOIN t LEFT JOIN o ON o.genre = r.genre AND o.setting = c.setting) SELECT round(sum((n - want) * (n - want) / want), 6) AS chi2, round(sqrt(sum((n - want) * (n - want) / want) / max(tn) / least((SELECT count(*) FROM r) - 1, (SELECT count(*) FROM c) - 1)), 6) AS cramers_v FROM e")
-shared("a22_spearman", "WITH r AS (SELECT set_id, rank() OVER (PARTITION BY set_id ORDER BY qty) + (count(*) OVER (PARTITION BY set_id, qty) - 1) / 2.0E0 AS rq, CAST(position AS DOUBLE) AS rp, count(*) OVER (PARTITION BY set_id) AS n FROM plays) SELECT set_id, round(corr(rp, rq), 6) + 0.0E0 AS rho FROM r WHERE n >= 3 GROUP BY set_id HAVING stddev_pop(rq) > 0")
+shared("a22_spearman", "WITH r AS (SELECT set_id, rank() OVER (PARTITION BY set_id ORDER BY qty) + (count(*) OVER (PARTITION BY set_id, qty) - 1) / 2.0E0 AS rq, CAST(position AS DOUBLE) AS rp, count(*) OVER (PARTITION BY set_id) AS n FROM plays) SELECT set_id, round(covar_pop(rp, rq) / nullif(stddev_pop(rp) * stddev_pop(rq), 0), 6) + 0.0E0 AS rho FROM r WHERE n >= 3 GROUP BY set_id HAVING stddev_pop(rq) > 0")
 shared("a23_train_only_scale", "WITH m AS (SELECT avg(bpm) AS mean, stddev_pop(bpm) AS sd FROM tracks WHERE track_id % 5 <> 0) SELECT track_id, round(coalesce((bpm - mean) / sd, 0), 6) AS z FROM tracks CROSS JOIN m")
 shared("a24_null_keys_dropped", "SELECT nullif(kind, 'error') AS kind, count(*) AS n FROM votes WHERE nullif(kind, 'error') IS NOT NULL GROUP BY nullif(kind, 'error')")
 shared("a25_error_buckets", "SELECT substring(regexp_replace(url, '[0-9]+', '#'), 1, 90) AS shape, count(*) AS n FROM pages GROUP BY substring(regexp_replace(url, '[0-9]+', '#'), 1, 90) ORDER BY n DESC, shape LIMIT 8", "SELECT substring(regexp_replace(url, '[0-9]+', '#', 'g'), 1, 90) AS shape, count(*) AS n FROM pages GROUP BY 1 ORDER BY n DESC, shape LIMIT 8")
