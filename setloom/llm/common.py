@@ -41,7 +41,16 @@ def materialize(df: DataFrame) -> DataFrame:
     # shuffle files of finished jobs go when the driver's JVM finds that nothing refers to them
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.setloom_path = path
+    return out
+
+
+def discard(written: DataFrame) -> None:
+    """Delete a table of :func:`materialize` that nothing will read again."""
+    spark = written.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written.setloom_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, list] | None]], rows: int = 2048) -> DataFrame:
