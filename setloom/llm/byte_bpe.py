@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setloom.llm.common import map_batches, table, text_or_empty
+from setloom.llm.common import by_size, map_batches, table, text_or_empty
 
 #: Letters outside ASCII for which the plain pattern below is exact; texts with any other character outside
 #: ASCII are cut by the tokenizer itself.
@@ -27,7 +27,9 @@ LATIN = "À-ÖØ-öø-ÿ"
 PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z{LATIN}]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9{LATIN}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 OTHER = re.compile(rf"[^\x00-\x7f{LATIN}]")
 #: Distinct pieces kept by a task before the dictionary starts afresh; it changes speed, never results.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 150_000
+#: Characters of text that are cut into pieces at once, or one text; it bounds memory, never results.
+CUT_CHARS = 500_000
 
 
 class Codec:
@@ -47,6 +49,9 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        return [ids for group in by_size(texts, CUT_CHARS) for ids in self._encode(group)]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.pieces) > KEPT_PIECES:
             self.pieces.clear()
         cut = [None if OTHER.search(t) else PLAIN.findall(t) for t in texts]

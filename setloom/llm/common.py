@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -53,6 +54,14 @@ def discard(written: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and an executor's limit counts them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, list] | None]], rows: int = 2048) -> DataFrame:
     """Run a Python function over column lists of at most ``rows`` rows, through Arrow.
 
@@ -67,6 +76,7 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         packed = lambda out: pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
+        batch = part = out = None
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
@@ -75,6 +85,8 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[st
                     yield packed(out)
         if hasattr(f, "finish") and (out := f.finish()) is not None:
             yield packed(out)
+        f = batch = part = out = None
+        give_back()
 
     return df.mapInArrow(run, spark_schema)
 
@@ -98,8 +110,8 @@ def lower_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_WORD_BYTES).split()
 
 
-def by_size(texts: list[bytes], most: int = 4_000_000) -> Iterator[list[bytes]]:
-    """The texts in their order, in groups of ``most`` bytes or one text."""
+def by_size(texts: list, most: int = 4_000_000) -> Iterator[list]:
+    """The texts in their order, in groups of ``most`` bytes (characters, if they are strings) or one text."""
     group, size = [], 0
     for t in texts:
         if group and size + len(t) > most:
