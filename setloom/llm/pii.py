@@ -37,7 +37,8 @@ HOMOGLYPHS |= {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)} | {"﹫": "@",
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 _SPELLED = rf"(?:{'|'.join(DIGITS)})"
-_GLYPH = f"[{''.join(map(re.escape, HOMOGLYPHS))}]"
+# case matters: folded, the class would also match characters that HOMOGLYPHS lacks, as the micro sign
+_GLYPH = f"(?-i:[{''.join(map(re.escape, HOMOGLYPHS))}])"
 #: Signs of disguise; only texts that show one are normalised.
 _SIGN = re.compile(rf"{_GLYPH}|[\[({{<]\s?(?:at|dot)\s?[\])}}>]|\bdot\b|\b{_SPELLED}(?:[\s,.-]+{_SPELLED}){{6,}}\b", re.I)
 _STEP = re.compile(

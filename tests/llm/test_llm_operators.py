@@ -205,6 +205,14 @@ def test_disguised_spans_point_into_the_source(spark, docs, nothing):
     assert [tuple(r) for r in masked] == [(1, "<EMAIL> and <IP>", 5), (2, None, 6)]
 
 
+def test_characters_that_only_fold_to_homoglyphs_stay(spark):
+    for text in ("5 \u00b5m", "\u03bc\u03ad\u03b3\u03b1", "\u03b6\u03c9\u03ae", "\u0500 \u03f1 \u03f5"):
+        assert pii.find(text) == ([], [])
+    assert all(pii.normalise(chr(c))[0] == pii.HOMOGLYPHS.get(chr(c), chr(c)) for c in range(0xD800))
+    got = pii.mask(spark.createDataFrame([(1, "5 \u00b5m, a@b.co")], "doc_id bigint, text string")).first()
+    assert got.text == "5 \u00b5m, <EMAIL>"
+
+
 def test_suffix_dedup(docs, rows, nothing):
     key = lambda i: (1 << 63) - 1 if i is None else i
     first = {}
