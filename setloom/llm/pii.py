@@ -4,7 +4,8 @@ Plain identifiers are found in the text as it is. A text that shows signs of dis
 transducer, which writes a normalised text and, for every character of it, the source characters it came
 from: homoglyphs and wide forms become ASCII, runs of spelled digits become digits, and ``(at)``, ``[dot]``,
 ``name at host dot org`` and the like become ``@`` and ``.``. Identifiers of the normalised text are mapped
-back to source characters and added where no plain one stands.
+back to source characters and added unless a plain one of their kind covers them; a plain one may be a
+fragment of them, and both are listed.
 
 All searches are linear in the text's length. Null and empty texts have no spans; repeated rows are treated
 alike and all stay; other columns are ignored. No row meets another, so nothing is shuffled.
@@ -13,6 +14,7 @@ alike and all stay; other columns are ignored. No row meets another, so nothing
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,12 +113,13 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     more: list[tuple[int, int, int]] = []
     if _SIGN.search(text):
         plain, starts, ends = normalise(text)
-        taken = [(s, e) for s, _, e in base]
+        taken = [[(s, e) for s, k, e in base if k == kind] for kind in range(len(KINDS))]
         for s, kind, e in detect(plain):
             first, end = starts[s], ends[e - 1]
-            if end - first != e - s or text[first:end] != plain[s:e]:
-                if not any(a < end and first < b for a, b in taken):
-                    more.append((first, kind, end))
+            # spans of a kind are apart, so only the last one that starts by then can cover this one
+            at = bisect_right(taken[kind], first, key=lambda x: x[0])
+            if not at or taken[kind][at - 1][1] < end:
+                more.append((first, kind, end))
     return base, sorted(more)
 
 
@@ -136,7 +139,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFr
 
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with every identifier in ``text_col`` replaced by its kind, as ``<EMAIL>``; null stays null."""
+    """The same rows and columns with every identifier in ``text_col`` replaced by its kind, as ``<EMAIL>``; null stays null.
+
+    Spans that overlap are replaced together, by the kind of the first."""
 
     def start():
         def hide(text: str | None) -> str | None:

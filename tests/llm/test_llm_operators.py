@@ -213,6 +213,20 @@ def test_characters_that_only_fold_to_homoglyphs_stay(spark):
     assert got.text == "5 \u00b5m, <EMAIL>"
 
 
+def test_plain_fragments_do_not_hide_disguised_spans(spark):
+    cases = {"j\u043ehn@example.com": "hn@example.com", "john@example.c\u043em": "john@example.c", "john@example.co dot uk": "john@example.co"}
+    for text, fragment in cases.items():
+        base, more = pii.find(f"to {text}, now")
+        assert [text_of(f"to {text}, now", x) for x in base] == [fragment] and [text_of(f"to {text}, now", x) for x in more] == [text]
+    assert pii.find("a@b.co \uff21 1.2.3.4") == (pii.detect("a@b.co \uff21 1.2.3.4"), [])
+    masked = pii.mask(spark.createDataFrame([(k, f"to {t}, now") for k, t in enumerate(cases)], "doc_id bigint, text string"))
+    assert {r.text for r in masked.collect()} == {"to <EMAIL>, now"}
+
+
+def text_of(text, span):
+    return text[span[0] : span[2]]
+
+
 def test_suffix_dedup(docs, rows, nothing):
     key = lambda i: (1 << 63) - 1 if i is None else i
     first = {}
