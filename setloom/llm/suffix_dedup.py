@@ -91,7 +91,9 @@ class Windows:
 
 
 class LogIndex:
-    """Sorted levels of keys with the smallest document of each; equal-sized levels merge."""
+    """Sorted levels of keys with the smallest document of each; equal-sized levels merge.
+
+    The last bit of ``more`` is a mark that any row of a key may bear; the row that stays bears it too."""
 
     def __init__(self):
         self.levels: list[list[np.ndarray]] = []
@@ -104,7 +106,8 @@ class LogIndex:
         owner = docs[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
         late = docs > owner
         lost = [(keys[late], docs[late])]
-        keys, docs, more = keys[first], docs[first], more[first]
+        marks = np.bitwise_or.reduceat(more & _U(1), np.flatnonzero(first)) if len(keys) else more
+        keys, docs, more = keys[first], docs[first], more[first] | marks
         for level in self.levels:
             at = np.minimum(np.searchsorted(level[0], keys), len(level[0]) - 1)
             hit = level[0][at] == keys
@@ -112,6 +115,7 @@ class LogIndex:
             old = level[1][i]
             lost += [(k[new > old], new[new > old]), (k[new < old], old[new < old])]
             level[1][i] = np.minimum(old, new)
+            level[2][i] |= more[hit] & _U(1)
             keys, docs, more = keys[~hit], docs[~hit], more[~hit]
         if len(keys):
             self.levels.append([keys, docs, more])

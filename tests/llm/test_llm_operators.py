@@ -255,6 +255,27 @@ def test_crowded_minimizers_are_exact(docs, rows, monkeypatch):
     test_suffix_dedup(docs, rows, docs.limit(0))
 
 
+def test_marks_outlast_the_rows_that_bear_them():
+    u, i = lambda *x: np.array(x, np.uint64), lambda *x: np.array(x, np.int64)
+    for batches in ([(u(5, 5, 9), i(1, 2, 1), u(6, 7, 8))], [(u(5, 9), i(1, 1), u(6, 8)), (u(5), i(2), u(7))], [(u(5, 9), i(2, 1), u(7, 8)), (u(5), i(1), u(6))]):
+        index = suffix_dedup.LogIndex()
+        for batch in batches:
+            index.add(*batch)
+        assert sorted(zip(*(x.tolist() for x in index.all()))) == [(5, 1, 7), (9, 1, 8)]
+
+
+def test_flushes_that_share_a_marked_run():
+    minimizer, runs = np.uint64(77 << 33 | 6), np.arange(100, 200, dtype=np.uint64)
+    index, excess = suffix_dedup.LogIndex(), 0
+    for some, doc in ((runs[:3], 1), (runs, 2)):  # the second flush has too many, and its marked run is in the first
+        rows = suffix_dedup._pack_runs(some, np.full(len(some), doc, np.int64), np.full(len(some), minimizer), 2048, 0)
+        excess += sum(len(keys) for _, kind, keys, _, _ in rows if kind == suffix_dedup.CROWDED)
+        for bucket, kind, keys, docs, more in rows:
+            if kind == suffix_dedup.INDEX:
+                index.add(keys, docs, more.astype(np.uint64) | np.uint64(bucket << 32))
+    assert excess == len(runs) - suffix_dedup.SPREAD and (index.all()[2] & np.uint64(1)).any()
+
+
 def test_quality_rules(docs, rows, nothing):
     def counts(t):
         t = t or ""
