@@ -14,6 +14,26 @@ def test_longest_rising():
     assert sequences.order_chance([1, 2, 3, 4, 5, 6, 7, 8], 500, 1) < 0.01
 
 
+def test_shuffles_equal_one_by_one():
+    rng = random.Random(5)
+    for n in (0, 1, 2, 5, 8, 70):
+        values = [float(rng.randint(0, n)) for _ in range(n)]
+        own, pool, lengths = random.Random(3), list(values), []
+        for _ in range(100):
+            own.shuffle(pool)
+            lengths.append(len(sequences.longest_rising(pool)))
+        assert sequences.median_shuffled(values, 100, 3) == sorted(lengths)[50]
+        assert sequences.order_chance(values, 100, 3) == sum(x >= len(sequences.longest_rising(values)) for x in lengths) / 100
+
+
+def test_registered_proof_summary_runs_2000_shuffles(spark):
+    from setloom.plans.composed import proof
+
+    got = proof(spark, "/root/testdata/sf0.001").collect()
+    assert any(round(r.chance * 2000) % 40 for r in got)  # finer than 50 shuffles
+    assert all(abs(r.chance * 2000 - round(r.chance * 2000)) < 1e-6 and 1 <= r.median_shuffled <= r.n for r in got)
+
+
 def test_capped_sessions(spark):
     rows = spark.createDataFrame([(1, float(t)) for t in [*range(0, 70, 10), 200]], "k int, t double")
     got = sequences.capped_sessions(rows, ["k"], "t", 10.1, 30).orderBy("start").collect()
