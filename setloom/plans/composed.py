@@ -194,12 +194,8 @@ def split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("l26_rank_metrics")
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine as a ranker: same label is relevant; one true and the other labels' vectors per query."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.element_at("embedding", 1).alias("x"))
-    pool = e.where("vec_id % 5 = 0")
-    q = e.where("vec_id % 5 = 1").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("x").alias("qx"))
-    scored = q.join(F.broadcast(pool), F.lit(True)).select("q", (-F.abs(F.col("x") - F.col("qx"))).alias("score"), (F.col("label") == F.col("ql")).alias("truth"))
-    return splits.rank_metrics(scored, "q", "score", "truth")
+    """Cosine as a ranker, every vector against all others: same label is relevant; one true and the other labels' vectors."""
+    return splits.vector_rank_metrics(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
 
 
 # --- sources and sinks -------------------------------------------------------------------------------------

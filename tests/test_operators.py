@@ -74,6 +74,29 @@ def test_split_keeps_entities_whole(spark):
     assert len(got) == 40 and 4 <= sum(r.split == "validation" for r in got) <= 8
 
 
+def test_rank_metrics_take_all_vectors_and_components(spark):
+    from statistics import mean, median
+
+    from setloom.plans.composed import metrics
+
+    rows = [(r.vec_id, r.label, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
+    unit = {i: [v / sum(x * x for x in e) ** 0.5 for v in e] for i, _, e in rows}
+    cosine = lambda i, j: round(sum(x * y for x, y in zip(unit[i], unit[j])), 9)
+    rows, auc, ranks = rows[:60], [], []
+    for i, label, _ in rows:
+        other = [cosine(i, j) for j, x, _ in rows if x != label]
+        for s in [cosine(i, j) for j, x, _ in rows if x == label and j != i]:
+            ranks.append(1 + sum(o > s for o in other))
+            auc.append(mean((s > o) + (s == o) / 2 for o in other))
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    for block in (7, 1024):
+        got = splits.vector_rank_metrics(table, block=block).first()
+        assert abs(got.auc - mean(auc)) < 2e-6 and got.median_rank == median(ranks)
+        assert abs(got.hit_at_k - mean(r <= 10 for r in ranks)) < 2e-6 and abs(got.mrr - mean(1 / r for r in ranks)) < 2e-6
+    whole = splits.vector_rank_metrics(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "label", "embedding")).first()
+    assert metrics(spark, "/root/testdata/sf0.001").first() == whole
+
+
 def test_stage_table(spark, tmp_path):
     t = StageTable(spark, str(tmp_path / "t"), T.StructType([T.StructField("k", T.IntegerType()), T.StructField("v", T.StringType())]), ("k",))
     assert t.rows().count() == 0
