@@ -106,10 +106,48 @@ def judge(docs: DataFrame, max_char_distance: float = 0.3, max_word_distance: fl
     df = df.withColumn("word_distance", F.when((F.col("n_words") >= min_words) & (F.size(words) > 0), js_distance(_shares(F.col("__common")), words)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     far = (F.coalesce("char_distance", F.lit(0.0)) > max_char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
-    df = df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
-    return df.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    verdict = F.struct(*counts, failed.alias("base_failed"), (~failed & ~far).alias("kept"), "char_distance", "word_distance")
+    # generated columns hold a caller's filter here: below the steps above it would repeat each of them many times
+    return df.select(*keep, F.inline(F.array(verdict)))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and verdict for every document."""
-    return judge(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    """Counts and verdict for every document; distances to six places."""
+    judged = judge(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return judged.withColumn("char_distance", F.round("char_distance", 6)).withColumn("word_distance", F.round("word_distance", 6))
+
+
+def _duck() -> str:
+    """The same by DuckDB: words by regular expression, windows as rows, references as sums."""
+    named = ", ".join(f"'{k}'" for k in COMMON_WORDS)
+    lists = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in COMMON_WORDS.items())
+    classes = ["[a-z]", "[A-Z]", "[0-9]", """[.,;:!?''"()\\-]""", "[#*$%&|<>]"]
+    count = ", ".join(f"length(solid) - length(regexp_replace(solid, '{c}', '', 'g'))" for c in classes)
+    hits = ", ".join(f"len(list_filter(words, lambda w: lower(w) = list[{k + 1}]))" for k in range(8))
+    sums = lambda c, n: ", ".join(f"sum({c}[{k + 1}])" for k in range(n))
+    share = lambda x: f"list_transform({x}, lambda v: CASE WHEN list_sum({x}) > 0 THEN v / CAST(list_sum({x}) AS DOUBLE) ELSE 0.0 END)"
+    distance = lambda p, q: f"sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda z: CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0.0 END + CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) ELSE 0.0 END)) / 2, 0.0))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN lang IN ({named}) THEN lang ELSE '{POOLED}' END AS lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g') AS solid, CASE lang {lists} ELSE [] END AS list,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+h AS (SELECT r, doc_id, lang, words, text, lines, len(words) AS n_words, length(solid) AS word_chars, [{count}, 0, length(text) - length(solid)] AS five, length(solid) AS n_solid, [{hits}] AS eight FROM w),
+c AS (SELECT *, [five[1], five[2], five[3], five[4], five[5], n_solid - list_sum(five[1:5]), five[7]] AS chars, list_append(eight, n_words - list_sum(eight)) AS common FROM h),
+ref AS (SELECT lang, [{sums("chars", 7)}] AS chars, [{sums("common", 9)}] AS common FROM c GROUP BY lang),
+every AS (SELECT [{sums("chars", 7)}] AS chars FROM c),
+x AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS k FROM (SELECT r, words, unnest(range(1, n_words - 1)) AS i FROM c) t),
+y AS (SELECT r, i FROM x QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+again AS (SELECT r, count(DISTINCT i + o) AS n FROM y, (VALUES (0), (1), (2)) v(o) GROUP BY r),
+j AS (SELECT c.*, coalesce(again.n, 0) AS n_repeat_words,
+  CASE WHEN length(c.text) >= 200 THEN {distance(share("c.chars"), share(f"CASE WHEN c.lang = '{POOLED}' THEN every.chars ELSE ref.chars END"))} END AS char_distance,
+  CASE WHEN c.n_words >= 100 AND c.lang <> '{POOLED}' THEN {distance(share("c.common"), share("ref.common"))} END AS word_distance
+  FROM c JOIN ref ON ref.lang = c.lang CROSS JOIN every LEFT JOIN again ON again.r = c.r)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(chars[5] AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(char_distance, 0) <= 0.3 AND coalesce(word_distance, 0) <= 0.22 AS kept,
+  round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance FROM j
+"""
+
+
+SQL = _duck()

@@ -23,4 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_chat_format": chat_format.SQL,
+    "op8_quality_rules": quality_rules.SQL,
 }
