@@ -322,6 +322,30 @@ def test_jaccard_join(docs, rows, nothing):
     assert jaccard_join.join(nothing).count() == 0
 
 
+def test_long_lists_are_parted_exactly(spark, docs, rows, monkeypatch):
+    """Lists of two groups or more count as hot, so that every depth, small sets and blocks are used."""
+    monkeypatch.setattr(jaccard_join, "HOT", 1)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(40)]
+    near = []
+    for k in range(60):  # texts around one, some below and some above the thresholds
+        w = base[:]
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(50)}"
+        near.append((5000 + k, " ".join(w[: rng.randint(34, 40)])))
+    near += [(6000 + k, " ".join(rng.choices("abc", k=rng.randint(1, 6)))) for k in range(40)]
+    more = docs.unionByName(spark.createDataFrame(near, "doc_id bigint, text string"), allowMissingColumns=True)
+    got = jaccard_join.join(more, percent=80, heavy=1e-1).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components([*rows, *near], percent=80)
+
+
+def test_a_list_that_everything_is_in_stays_linear(spark):
+    """One shared shingle in the prefix of 3,000 unlike sets: parted by the next member, nothing is left."""
+    lists = spark.range(3000).selectExpr("7L as token", "id as g", "20L as size", "0 as pos").unionByName(spark.range(3000).selectExpr("1000 + id as token", "id as g", "20L as size", "1 as pos"))
+    groups = spark.range(3000).selectExpr("id as g", "id as low", "id as high", "array(0L, 0L, 0L, 0L) as few", "false as crowd")
+    assert jaccard_join._cross_pairs(lists, groups, 90).count() == 0
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a bigint, b bigint")
     got = {r.node: r.label for r in jaccard_join.components(links).collect()}
