@@ -1,28 +1,31 @@
 """Removal of repeated passages by a logarithmic family of suffix arrays.
 
-A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller id;
+A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id;
 strings are judged on the input. Documents are never compared in pairs and no suffix array of all bytes is
 kept. Instead:
 
-1. The ``length``-byte windows of a text are told apart by their minimizer, the least hash of the ``GRAM``-
-   byte strings in them. Neighbouring windows of one minimizer form a run, so equal windows lie in runs of
-   equal minimizers. Every run is hashed whole.
-2. Runs are dealt by minimizer to indexes. An index is a family of sorted arrays (suffix starts, ordered by
-   the fingerprint of what they start): a new batch is sorted, merge-scanned against the existing levels, and
-   then merged with them while the last level isn't much larger. A run that an earlier document has as well
-   is removed as a whole; a minimizer that stands in different runs sends those to step 3.
-3. The bytes of those runs go to indexes by minimizer, which index every window that starts in them. Runs of
-   a minimizer with more than ``CROWD`` different runs go by their single windows instead.
-4. Each document gets its removed runs and windows and gives its result.
-
-A task only sends one row for equal runs or windows of its documents (the later ones are known to be
-removed), and at most ``SPREAD`` runs of one minimizer (the rest go to step 3 at once, and with them all
-others of that minimizer, by their windows), so a passage that is everywhere loads an index with a few rows
-from each task. Fingerprints have 64 bits; a wrong removal needs
-two windows to agree in it.
-
-A null id counts as larger than all others; documents of equal id don't affect each other. Null and empty
-texts have no bytes. Other columns are ignored; an empty table gives no rows.
+1. Documents are packed into batches of about ``BATCH`` bytes. The ``LENGTH``-byte windows of a batch are told
+   apart by their minimizer, the least hash of the ``GRAM``-byte strings in them; neighbouring windows of one
+   minimizer form a run, so equal windows always lie in runs of equal minimizers. A batch sends each of its
+   minimizers once, as 32 bits in one of many buckets, and gets back a bit for each: whether it also stands in
+   another document. A wrong bit only sends bytes in vain.
+2. The bytes of runs whose minimizer is shared (suffixes to begin a window with, and what they need to be read
+   to ``LENGTH`` bytes) go to an index by bucket. Runs of a minimizer with more than ``CROWD`` different runs
+   go by their single windows instead, which spreads them.
+3. An index is a logarithmic family: runs that are equal byte by byte are one; where a minimizer has several
+   unequal runs, these come in batches, each batch gets its suffix array (window starts in the order of the
+   bytes from there), is merge-scanned against the arrays of the existing levels for matches of ``LENGTH``
+   bytes, and levels of similar size are merged. Wherever a smaller document turns up, the places of the
+   larger ones are sent back.
+4. Each batch gets its places and gives its documents' results.
+
+A batch sends equal runs only once (those of larger documents are known to be removed), so a passage that is
+everywhere loads an index with one run from each batch. All matches are of bytes, not of hashes. An index holds
+one bucket at a time, and buckets and tasks grow in number with the bytes of the corpus, so memory doesn't.
+Texts are read in pieces of ``CHUNK`` bytes, so that a very long one needs no more than its own bytes.
+
+A null id counts as 2**63 - 1; documents of equal id don't affect each other, and repeated rows have equal
+results. Null and empty texts have no bytes. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,17 +38,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setloom.llm.common import materialize, parallelism, table, text_or_empty
+from setloom.llm.batches import by_first, opened, pack, packed_batches, parts, record_batch, single_rows, unpack
+from setloom.llm.common import discard, give_back, materialize, parallelism, table, text_or_empty
 
 #: Length of the strings that count as repeated, in bytes, and of the grams that minimizers are chosen from.
 LENGTH, GRAM = 50, 24
-#: Most different runs of one minimizer that a task sends, and that an index compares by their bytes.
-SPREAD, CROWD = 64, 4096
+#: Bytes of texts in a batch (or one text), and bytes that are hashed at once.
+BATCH, CHUNK = 4_000_000, 1_000_000
+#: Different runs of a minimizer beyond which its windows are dealt one by one.
+CROWD = 50_000
+#: Windows that an index takes in at once.
+TAKEN = 1_000_000
+#: Bytes of the corpus for each bucket and for each task of an index.
+BUCKET_BYTES, TASK_BYTES = 8_000_000, 64_000_000
+NULL_ID = (1 << 63) - 1
 _U = np.uint64
 _BYTE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _B = 0x9E3779B97F4A7C15
 _P = {k: _U(pow(_B, k, 1 << 64)) for k in (1, 2, 4, 8, 18, 34)}
-NULL_ID = (1 << 63) - 1
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -53,296 +63,349 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(29))
 
 
-class Windows:
-    """Hashes of one text's windows and runs. ``starts`` and ``ends`` bound the runs, in windows."""
+class Runs:
+    """The runs of a batch of joined texts: ``starts`` (bytes), ``counts`` (windows), ``codes`` (minimizers) and
+    ``marks`` (64-bit fingerprints of their bytes). Windows don't cross from one text to the next."""
+
+    def __init__(self, raw: np.ndarray, sizes: np.ndarray):
+        parts = []
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(raw)) if len(raw) else np.zeros(0, np.int64)
+        for c in range(0, max(0, len(raw) - LENGTH + 1), CHUNK):
+            n = min(CHUNK, len(raw) - LENGTH + 1 - c)
+            parts.append(self._chunk(raw[c : c + n + LENGTH - 1], left[c : c + n] >= LENGTH, c))
+        none = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+        self.starts, self.counts, self.codes, self.marks = (np.concatenate(x) for x in zip(none, *parts))
 
-    def __init__(self, raw: bytes):
-        self.n = max(0, len(raw) - LENGTH + 1)
-        if not self.n:
-            self.starts = self.ends = np.zeros(0, np.int64)
-            self.minimizers = self.runs = np.zeros(0, np.uint64)
-            return
-        h1 = _BYTE[np.frombuffer(raw, np.uint8)]
-        self.h2 = h2 = h1[:-1] * _P[1] + h1[1:]
+    @staticmethod
+    def _chunk(raw: np.ndarray, whole: np.ndarray, offset: int) -> tuple[np.ndarray, ...]:
+        h1 = _BYTE[raw]
+        h2 = h1[:-1] * _P[1] + h1[1:]
         h4 = h2[:-2] * _P[2] + h2[2:]
         h8 = h4[:-4] * _P[4] + h4[4:]
-        self.h16 = h16 = h8[:-8] * _P[8] + h8[8:]
+        h16 = h8[:-8] * _P[8] + h8[8:]
         least = _mix(h16[:-8] * _P[8] + h8[16:])
         for step in (1, 2, 4, 8, 11):  # the least of 2, 4, 8, 16 and 27 grams
             least = np.minimum(least[:-step], least[step:])
-        cut = np.flatnonzero(least[1:] != least[:-1]) + 1
-        starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [self.n]))
-        if (ends - starts).max() > LENGTH:  # text that repeats itself: the first and last window must cover a run
-            parts = [np.arange(a, b, LENGTH) for a, b in zip(starts.tolist(), ends.tolist())]
-            starts = np.concatenate(parts)
-            ends = np.append(starts[1:], self.n)
-        self.starts, self.ends = starts, ends
-        self.minimizers = least[starts]
-        self.runs = _mix(_mix(self.at(starts)) * _U(3) + self.at(ends - 1) + (ends - starts).astype(np.uint64) * _U(_B))
-
-    def slim(self) -> Windows:
-        """Without what only single windows need."""
-        self.h2 = self.h16 = None
-        return self
-
-    def at(self, i: np.ndarray) -> np.ndarray:
-        """Fingerprints of the windows that start at i."""
-        return _mix(self.h16[i] * _P[34] + self.h16[i + 16] * _P[18] + self.h16[i + 32] * _P[2] + self.h2[i + 48])
-
-
-class LogIndex:
-    """Sorted levels of keys with the smallest document of each; equal-sized levels merge.
+        cut = np.flatnonzero((least[1:] != least[:-1]) | (whole[1:] != whole[:-1])) + 1
+        starts = np.concatenate(([0], cut))
+        counts = np.diff(np.append(starts, len(least)))
+        keep = whole[starts]
+        starts, counts = starts[keep], counts[keep]
+        if len(counts) and counts.max() > LENGTH:  # text that repeats itself
+            n = -(-counts // LENGTH)
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            starts, counts = np.repeat(starts, n) + nth * LENGTH, np.minimum(LENGTH, np.repeat(counts, n) - nth * LENGTH)
 
-    The last bit of ``more`` is a mark that any row of a key may bear; the row that stays bears it too."""
+        def at(i: np.ndarray) -> np.ndarray:
+            return _mix(h16[i] * _P[34] + h16[i + 16] * _P[18] + h16[i + 32] * _P[2] + h2[i + 48])
 
-    def __init__(self):
-        self.levels: list[list[np.ndarray]] = []
-
-    def add(self, keys: np.ndarray, docs: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Take a batch in; gives the keys and documents that turn out to have a smaller document."""
-        order = np.lexsort((docs, keys))
-        keys, docs, more = keys[order], docs[order], more[order]
-        first = np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)]
-        owner = docs[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-        late = docs > owner
-        lost = [(keys[late], docs[late])]
-        marks = np.bitwise_or.reduceat(more & _U(1), np.flatnonzero(first)) if len(keys) else more
-        keys, docs, more = keys[first], docs[first], more[first] | marks
-        for level in self.levels:
-            at = np.minimum(np.searchsorted(level[0], keys), len(level[0]) - 1)
-            hit = level[0][at] == keys
-            i, k, new = at[hit], keys[hit], docs[hit]
-            old = level[1][i]
-            lost += [(k[new > old], new[new > old]), (k[new < old], old[new < old])]
-            level[1][i] = np.minimum(old, new)
-            level[2][i] |= more[hit] & _U(1)
-            keys, docs, more = keys[~hit], docs[~hit], more[~hit]
-        if len(keys):
-            self.levels.append([keys, docs, more])
-            while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-                b, a = self.levels.pop(), self.levels.pop()
-                both = [np.concatenate(x) for x in zip(a, b)]
-                order = np.argsort(both[0], kind="stable")
-                self.levels.append([x[order] for x in both])
-        return np.concatenate([k for k, _ in lost]), np.concatenate([d for _, d in lost])
+        marks = _mix(at(starts) * _U(3) + at(starts + counts - 1) + counts.astype(np.uint64) * _U(_B))
+        return starts + offset, counts, least[starts], marks
 
-    def all(self) -> list[np.ndarray]:
-        """Keys, documents and what else was given, of everything in the index."""
-        return [np.concatenate([level[k] for level in self.levels]) for k in range(3)] if self.levels else [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
 
+def _owners(ids: list) -> np.ndarray:
+    return np.array([NULL_ID if i is None else i for i in ids], np.int64)
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("more", pa.binary())])
-_PACKED_SQL = "bucket int, kind int, keys binary, docs binary, more binary"
-_REPLY = pa.schema([("doc", pa.int64()), ("kind", pa.int32()), ("key", pa.int64())])
-_REPLY_SQL = "doc bigint, kind int, key bigint"
-#: Kinds of rows: for an index; a run removed; a run to be compared by its bytes; a window removed; a run to be
-#: compared by its windows; bytes of runs for an index.
-INDEX, RUN, OPEN, WINDOW, CROWDED, BYTES = 0, 1, 2, 3, 4, 5
 
+def _placed(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 32 bits of each minimizer, in one number."""
+    return (((codes >> _U(32)) % _U(buckets)) << _U(32)) | (codes & _U(0xFFFFFFFF))
 
-def _packed(rows: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    cols = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in cols[2:])], schema=_PACKED)
 
+def _by_bucket(places: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(bucket, its part) of places sorted by bucket."""
+    return parts((places >> _U(32)).astype(np.int64))
 
-def _spread(kind: int, keys: np.ndarray, docs: np.ndarray, buckets: int, salt: int) -> list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Known replies, dealt evenly."""
-    none = np.zeros(0, np.uint32)
-    return [((salt + k) * 40_503 % buckets, kind, keys[at : at + 20_000], docs[at : at + 20_000], none) for k, at in enumerate(range(0, len(keys), 20_000))]
 
+def _ask(packed: DataFrame, buckets: int) -> DataFrame:
+    """Step 1, a batch's side: its minimizers by bucket, with the number of different runs and whether several
+    of its documents have them."""
+    schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("info", pa.binary())])
 
-def _pack_runs(runs, docs, minimizers, buckets, salt):
-    order = np.lexsort((docs, runs, minimizers))
-    runs, docs, minimizers = runs[order], docs[order], minimizers[order]
-    first = np.concatenate(([True], runs[1:] != runs[:-1]))
-    owner = docs[np.maximum.accumulate(np.where(first, np.arange(len(runs)), 0))]
-    out = _spread(RUN, runs[docs > owner], docs[docs > owner], buckets, salt)
-    runs, docs, minimizers = runs[first], docs[first], minimizers[first]
-    head = np.concatenate(([True], minimizers[1:] != minimizers[:-1]))
-    nth = np.arange(len(runs)) - np.maximum.accumulate(np.where(head, np.arange(len(runs)), 0))
-    out += _spread(CROWDED, runs[nth >= SPREAD], docs[nth >= SPREAD], buckets, salt + 1)
-    over = np.zeros(len(runs), bool)
-    over[np.maximum.accumulate(np.where(head, np.arange(len(runs)), 0))[nth == SPREAD]] = True  # told by the minimizer's first run
-    few = nth < SPREAD
-    runs, docs, minimizers, over = runs[few], docs[few], minimizers[few], over[few]
-    return out + _dealt(_bucket(minimizers, buckets), runs, docs, (minimizers.astype(np.uint32) & ~np.uint32(1)) | over)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, ids, sizes, texts in single_rows(batches):
+            ids, (sizes, raw) = _owners(ids), opened(sizes, texts)
+            runs = Runs(np.frombuffer(raw, np.uint8), sizes)
+            place, inverse = np.unique(_placed(runs.codes, buckets), return_inverse=True)
+            if not len(place):
+                continue
+            doc = ids[np.searchsorted(np.cumsum(sizes), runs.starts, side="right")]
+            order = np.lexsort((doc, inverse))
+            lowest, highest = doc[order][np.searchsorted(inverse[order], np.arange(len(place)))], doc[order][np.searchsorted(inverse[order], np.arange(len(place)), side="right") - 1]
+            order = np.lexsort((runs.marks, inverse))
+            new = np.concatenate(([True], (np.diff(inverse[order]) != 0) | (runs.marks[order][1:] != runs.marks[order][:-1])))
+            different = np.bincount(inverse[order][new], minlength=len(place))
+            info = (np.minimum(different, 32767) << 1 | (lowest != highest)).astype(np.uint16)
+            found = [(b, number, place[x].astype(np.uint32).tobytes(), info[x].tobytes()) for b, x in _by_bucket(place)]
+            yield record_batch(found, schema)
+        give_back()
+
+    return packed.select("batch", "ids", "sizes", "texts").mapInArrow(run, "bucket int, batch bigint, keys binary, info binary")
+
+
+def _answer(asked: DataFrame, tasks: int) -> DataFrame:
+    """Step 1, an index's side: bits for the minimizers of every batch that are shared, and for those crowded."""
+    schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("shared", pa.binary()), ("crowded", pa.binary())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in by_first(batches):
+            keys = [np.frombuffer(r[2], np.uint32) for r in rows]
+            info = np.concatenate([np.frombuffer(r[3], np.uint16) for r in rows]).astype(np.int64)
+            known, which, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+            shared = (times > 1) | (np.bincount(which, info & 1, len(known)) > 0)
+            crowded = shared & (np.bincount(which, info >> 1, len(known)) > CROWD)
+            ends = np.cumsum([len(k) for k in keys])[:-1]
+            bits = [[np.packbits(x).tobytes() for x in np.split(on[which], ends)] for on in (shared, crowded)]
+            yield record_batch([(bucket, r[1], a, b) for r, a, b in zip(rows, *bits)], schema)
+        give_back()
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (keys >> _U(32)) % _U(buckets)
+    dealt = asked.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "bucket int, batch bigint, shared binary, crowded binary")
 
 
-def _pack_windows(keys, docs, buckets, salt):
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    first = np.concatenate(([True], keys[1:] != keys[:-1]))
-    owner = docs[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-    out = _spread(WINDOW, keys[docs > owner], docs[docs > owner], buckets, salt)
-    keys, docs = keys[first], docs[first]
-    return out + _dealt(_bucket(keys, buckets), keys, docs, np.zeros(len(keys), np.uint8))
+#: Kinds of rows: runs for an index; places of a batch known to be removed; places where a batch's run stands again.
+PIECES, GONE, AGAIN = 0, 1, 2
+_SENT = "bucket int, kind int, batch bigint, packed binary"
 
 
-def _dealt(bucket, keys, docs, more):
-    order = np.lexsort((docs, bucket))  # by document, so that ids compress
-    bucket, keys, docs, more = bucket[order], keys[order], docs[order], more[order]
-    cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)])) if len(bucket) else np.zeros(1, np.int64)
-    return [(int(bucket[a]), INDEX, keys[a:b], docs[a:b], more[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("packed", pa.binary())])
 
 
-def _send_runs(docs: DataFrame, buckets: int, most: int = 1_500_000) -> DataFrame:
-    """Step 2: the runs of all documents."""
+def _send(answered: DataFrame, buckets: int) -> DataFrame:
+    """Step 2: bytes of the runs that are shared, each different run of a batch once (batch, ids, sizes, texts, bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size, salt = [], 0, 0
-
-        def flushed():
-            ids = np.concatenate([np.full(len(w.runs), d, np.int64) for d, w in parts])
-            return _packed(_pack_runs(np.concatenate([w.runs for _, w in parts]), ids, np.concatenate([w.minimizers for _, w in parts]), buckets, salt))
-
-        for batch in batches:
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = Windows(t.encode()).slim()
-                if w.n:
-                    parts.append((doc, w))
-                    size += len(w.runs)
-                if size >= most:
-                    yield flushed()
-                    parts, size, salt = [], 0, salt + 7
-        if parts:
-            yield flushed()
+        for number, ids, sizes, texts, bits in single_rows(batches):
+            ids, (sizes, raw) = _owners(ids), opened(sizes, texts)
+            runs = Runs(np.frombuffer(raw, np.uint8), sizes)
+            place, inverse = np.unique(_placed(runs.codes, buckets), return_inverse=True)
+            shared, crowded = np.zeros(len(place), bool), np.zeros(len(place), bool)
+            told = {b["bucket"]: b for b in bits}
+            for b, x in _by_bucket(place):
+                for on, name in ((shared, "shared"), (crowded, "crowded")):
+                    on[x] = np.unpackbits(np.frombuffer(told[b][name], np.uint8), count=x.stop - x.start).astype(bool)
+            pick = np.flatnonzero(shared[inverse])
+            starts, counts, at = runs.starts[pick], runs.counts[pick], place[inverse[pick]]
+            alone = crowded[inverse[pick]]
+            if alone.any():  # windows one by one, by a hash of their own
+                n = counts[alone]
+                first = np.repeat(starts[alone], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                spot = np.array([int.from_bytes(hashlib.blake2b(raw[s : s + LENGTH], digest_size=8).digest(), "little") for s in first.tolist()], np.uint64)
+                starts, counts, at = np.concatenate((starts[~alone], first)), np.concatenate((counts[~alone], np.ones(len(first), np.int64))), np.concatenate((at[~alone], _placed(spot, buckets)))
+            doc = ids[np.searchsorted(np.cumsum(sizes), starts, side="right")]
+            order = np.lexsort((starts, doc))  # the smallest document's run speaks for its equals
+            seen: dict[bytes, int] = {}
+            own, gone, again = [], [], []
+            for k, s, e, d in zip(order.tolist(), starts[order].tolist(), (starts + counts + LENGTH - 1)[order].tolist(), doc[order].tolist()):
+                first = seen.setdefault(raw[s:e], k)
+                if first == k:
+                    own.append(k)
+                elif doc[first] == d:
+                    again.append((int(starts[first]), s, e - s - LENGTH + 1))
+                else:
+                    gone.append((s, e - s - LENGTH + 1))
+            del seen
+            rows, any_bucket = [], (number * _B >> 20) % buckets
+            if gone:
+                rows.append((any_bucket, GONE, number, pack(*(np.array(x, np.uint32) for x in zip(*gone)))))
+            if again:
+                rows.append((any_bucket, AGAIN, number, pack(*(np.array(x, np.uint32) for x in zip(*again)))))
+            own = np.array(own, np.int64)
+            own = own[np.lexsort((starts[own], at[own] >> _U(32)))]
+            for b, x in _by_bucket(at[own]):
+                k = own[x]
+                ends = starts[k] + counts[k] + LENGTH - 1
+                text = np.frombuffer(b"".join([raw[s:e] for s, e in zip(starts[k].tolist(), ends.tolist())]), np.uint8)
+                rows.append((b, PIECES, number, pack(text, counts[k].astype(np.uint8), at[k].astype(np.uint32), doc[k], starts[k].astype(np.uint32))))
+            yield record_batch(rows, _SENT_ARROW)
+        give_back()
+
+    return answered.select("batch", "ids", "sizes", "texts", "bits").mapInArrow(run, _SENT)
 
-    return docs.select("doc", "t").mapInArrow(run, _PACKED_SQL)
 
+class LogIndex:
+    """Suffix arrays in levels. Each holds windows in the order of their bytes, and for each the smallest known
+    document and the place that stands for it (-1: a place already given up)."""
 
-def _send_open(opened: DataFrame, buckets: int, most: int = 1_000_000) -> DataFrame:
-    """Step 3: bytes or windows of the runs asked for (doc, t, open, crowded)."""
+    def __init__(self):
+        self.levels: list[list[np.ndarray]] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, windows, size, salt = [], [], 0, 0
-
-        def flushed():
-            rows = []
-            if windows:
-                rows += _pack_windows(np.concatenate([k for _, k in windows]), np.concatenate([np.full(len(k), d, np.int64) for d, k in windows]), buckets, salt)
-            by_bucket: dict[int, list[tuple[int, bytes]]] = {}
-            for bucket, doc, piece in texts:
-                by_bucket.setdefault(bucket, []).append((doc, piece))
-            for bucket, some in by_bucket.items():
-                rows.append((bucket, BYTES, np.frombuffer(b"".join(x for _, x in some), np.uint8), np.array([d for d, _ in some], np.int64), np.array([len(x) for _, x in some], np.uint32)))
-            return _packed(rows)
-
-        for batch in batches:
-            for doc, t, by_bytes, by_windows in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                raw = t.encode()
-                w = Windows(raw)
-                at = np.flatnonzero(np.isin(w.runs.view(np.int64), np.array(by_bytes, np.int64)))
-                at = at[np.unique(w.runs[at], return_index=True)[1]]
-                texts += [(b, doc, raw[x : y + LENGTH - 1]) for b, x, y in zip(_bucket(w.minimizers[at], buckets).tolist(), w.starts[at].tolist(), w.ends[at].tolist())]
-                size += len(at)
-                if by_windows:
-                    at = np.flatnonzero(np.isin(w.runs.view(np.int64), np.array(by_windows, np.int64)))
-                    keys = np.unique(w.at(np.concatenate([np.arange(x, y) for x, y in zip(w.starts[at].tolist(), w.ends[at].tolist())])))
-                    windows.append((doc, keys))
-                    size += len(keys)
-                if size >= most:
-                    yield flushed()
-                    texts, windows, size, salt = [], [], 0, salt + 7
-        if texts or windows:
-            yield flushed()
-
-    return opened.select("doc", "t", "open", "crowded").mapInArrow(run, _PACKED_SQL)
-
-
-def _window_keys(pieces: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of all windows of joined pieces, and each one's piece."""
-    starts = np.cumsum(lengths) - lengths
-    count = lengths - LENGTH + 1
-    at = np.repeat(starts - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    return Windows(pieces).at(at), np.repeat(np.arange(len(lengths)), count)
-
-
-def _indexed(sent: DataFrame, buckets: int, runs: bool) -> DataFrame:
-    """Deal the rows to indexes and give the replies."""
-
-    def reply(kind, docs, keys):
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.full(len(docs), kind, np.int32)), pa.array(keys.view(np.int64))], schema=_REPLY)
+    @staticmethod
+    def suffix_array(text: np.ndarray, counts: np.ndarray, docs: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+        """Windows of joined runs in order; windows of one kind by document."""
+        sizes = counts + LENGTH - 1
+        nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = np.repeat(np.cumsum(sizes) - sizes, counts) + nth
+        windows = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[at].view(f"S{LENGTH}").ravel()
+        docs, places = np.repeat(docs, counts), np.repeat(places, counts) + nth
+        order = np.argsort(docs, kind="stable")
+        order = order[np.argsort(windows[order], kind="stable")]
+        return [windows[order], docs[order], places[order]]
+
+    def add(self, level: list[np.ndarray]) -> np.ndarray:
+        """Take a suffix array in; gives the places that turn out to stand in a smaller document too."""
+        windows, docs, places = level
+        new = np.concatenate(([True], windows[1:] != windows[:-1]))[: len(windows)]
+        group = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        late = docs > docs[first][group]
+        lost = [places[late]]
+        windows, docs, places, group = windows[~late], docs[~late], places[~late], group[~late]
+        kind, least = level[0][first], level[1][first]
+        dead = np.zeros(len(kind), bool)  # whose owner an earlier level has
+        for known in self.levels:
+            a = np.searchsorted(known[0], kind)
+            hit = np.flatnonzero(known[0][np.minimum(a, len(known[0]) - 1)] == kind)
+            b = np.searchsorted(known[0], kind[hit], side="right")
+            a, n = a[hit], b - a[hit]
+            old = known[1][a]
+            worse = old < least[hit]
+            dead[hit[worse]] = True
+            least[hit[worse]] = old[worse]
+            a, n, now = a[old > least[hit]], n[old > least[hit]], least[hit][old > least[hit]]
+            every = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            lost.append(known[2][every][known[2][every] >= 0])
+            known[1][every], known[2][every] = np.repeat(now, n), -1
+        lost.append(places[dead[group]])
+        stay = ~dead[group]
+        if stay.any():
+            self.levels.append([windows[stay], docs[stay], places[stay]])
+            while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
+                late, early = self.levels.pop(), self.levels.pop()
+                both = [np.concatenate(x) for x in zip(early, late)]
+                order = np.argsort(both[0], kind="stable")  # two runs in order: merged in one pass
+                self.levels.append([x[order] for x in both])
+        return np.concatenate(lost)
+
+
+def _resolved(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Step 3 for one bucket (rows of batch, packed): (batches, first windows, windows) that are removed."""
+    text, counts, codes, docs, starts = zip(*(unpack(r[1], np.uint8, np.uint8, np.uint32, np.int64, np.uint32) for r in rows))
+    batch = np.repeat(np.array([r[0] for r in rows], np.int64), [len(c) for c in counts])
+    counts, codes, docs, starts = (np.concatenate(x) for x in (counts, codes, docs, starts))
+    counts, raw = counts.astype(np.int64), b"".join(x.tobytes() for x in text)
+    ends = np.cumsum(counts + LENGTH - 1)
+    begins = ends - counts - LENGTH + 1
+    # runs equal byte by byte
+    number: dict[bytes, int] = {}
+    kind = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(begins.tolist(), ends.tolist())], np.int64)
+    del number
+    order = np.lexsort((docs, kind))
+    first = order[np.flatnonzero(np.concatenate(([True], np.diff(kind[order]) != 0)))]  # by kind, its smallest document's
+    late = docs > docs[first][kind]
+    yield batch[late], starts[late], counts[late]
+    # minimizers with several kinds of runs: windows of each kind, for all that have its smallest document
+    several = np.unique(codes[first], return_inverse=True, return_counts=True)
+    open_kind = several[2][several[1]] > 1
+    if not open_kind.any():
+        return
+    chosen = first[open_kind]
+    index, gone = LogIndex(), []
+    # a place is the kind's first byte in ``raw`` and the window in it
+    at, taken = 0, np.cumsum(counts[chosen])
+    while at < len(chosen):
+        upto = max(at + 1, int(np.searchsorted(taken, (taken[at - 1] if at else 0) + TAKEN)))
+        some = chosen[at:upto]
+        joined = np.frombuffer(b"".join([raw[a:b] for a, b in zip(begins[some].tolist(), ends[some].tolist())]), np.uint8)
+        gone.append(index.add(index.suffix_array(joined, counts[some], docs[some], begins[some])))
+        at = upto
+    gone = np.sort(np.concatenate(gone))
+    if not len(gone):
+        return
+    new = np.concatenate(([True], (np.diff(gone) != 1) | (np.searchsorted(ends, gone[1:], side="right") != np.searchsorted(ends, gone[:-1], side="right"))))
+    cut = np.flatnonzero(new)
+    where, n = gone[cut], np.diff(np.append(cut, len(gone)))
+    run = np.searchsorted(ends, where, side="right")
+    shift = where - begins[run]
+    # the same places in the other batches that have the run with the same document
+    owner = np.flatnonzero(~late)
+    owner = owner[np.argsort(kind[owner], kind="stable")]
+    a, b = np.searchsorted(kind[owner], kind[run]), np.searchsorted(kind[owner], kind[run], side="right")
+    times = b - a
+    every = owner[np.repeat(a - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+    yield batch[every], starts[every] + np.repeat(shift, times), np.repeat(n, times)
+
+
+def _indexed(sent: DataFrame, tasks: int) -> DataFrame:
+    """Step 3: deal the rows to indexes and give every batch its removed places (kind, batch, packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, parts, size = LogIndex(), [], 0
-
-        def added():
-            keys, docs = index.add(*(np.concatenate(x) for x in zip(*parts)))
-            return reply(RUN if runs else WINDOW, docs, keys)
-
-        for batch in batches:
-            for bucket, kind, keys, docs, more in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                keys, docs = np.frombuffer(keys, np.uint8 if kind == BYTES else np.uint64), np.frombuffer(docs, np.int64)
-                if kind == BYTES:
-                    keys, piece = _window_keys(keys.tobytes(), np.frombuffer(more, np.uint32).astype(np.int64))
-                    docs, more = docs[piece], b""
-                elif kind != INDEX:
-                    yield reply(kind, docs, keys)
-                    continue
-                parts.append((keys, docs, (np.frombuffer(more, np.uint32).astype(np.uint64) | (_U(bucket) << _U(32))) if runs else np.zeros(len(keys), np.uint64)))
-                size += len(keys)
-                if size > 300_000:
-                    yield added()
-                    parts, size = [], 0
-        if parts:
-            yield added()
-        if runs:
-            keys, docs, more = index.all()
-            minimizers, group, n = np.unique(more >> _U(1), return_inverse=True, return_counts=True)
-            crowded = (n > CROWD) | (np.bincount(group, (more & _U(1)).astype(np.int64), len(n)) > 0 if len(n) else n > CROWD)
-            for kind, which in ((CROWDED, crowded[group]), (OPEN, ~crowded[group] & (n[group] > 1))):
-                found = np.flatnonzero(which)
-                for at in range(0, len(found), 500_000):
-                    yield reply(kind, docs[found[at : at + 500_000]], keys[found[at : at + 500_000]])
-
-    return sent.repartition(parallelism(sent.sparkSession), "bucket").mapInArrow(run, _REPLY_SQL)
+        for bucket, rows in by_first(batches):
+            out = [(bucket, kind, batch, packed) for _, kind, batch, packed in rows if kind != PIECES]
+            pieces = [(batch, packed) for _, kind, batch, packed in rows if kind == PIECES]
+            del rows
+            for batch, first, n in _resolved(pieces) if pieces else ():
+                order = np.lexsort((first, batch))
+                batch, first, n = batch[order], first[order].astype(np.uint32), n[order].astype(np.uint32)
+                cuts = np.flatnonzero(np.diff(batch)) + 1
+                out += [(bucket, GONE, int(batch[a]), pack(first[a:b], n[a:b])) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]) if b > a]
+            yield record_batch(out, _SENT_ARROW)
+        give_back()
+
+    dealt = sent.select("bucket", "kind", "batch", "packed").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, _SENT).select("batch", F.struct("kind", "packed").alias("found"))
+
+
+def _cut(raw: bytes, sizes: np.ndarray, found: list[dict]) -> Iterator[list[tuple[int, int]]]:
+    """Removed spans (start, end) in bytes of each text of a batch."""
+    edges = np.zeros(len(raw) + 1, np.int32)
+    gone = np.zeros(len(raw) + 1, bool)
+    for x in found:
+        if x["kind"] == GONE:
+            first, n = (v.astype(np.int64) for v in unpack(x["packed"], np.uint32, np.uint32))
+            np.add.at(edges, first, 1)
+            np.add.at(edges, first + n, -1)
+    gone[:] = np.cumsum(edges) > 0
+    for x in found:
+        if x["kind"] == AGAIN:
+            for first, other, n in zip(*(v.tolist() for v in unpack(x["packed"], np.uint32, np.uint32, np.uint32))):
+                gone[other : other + n] |= gone[first : first + n]
+    ends = np.cumsum(sizes)
+    turns = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8)))))
+    # windows of a text end before its last bytes, so no run of them crosses into the next text
+    spans = turns.reshape(-1, 2) + np.array([0, LENGTH - 1])
+    owner = np.searchsorted(ends, spans[:, 0], side="right")
+    if len(spans) > 1:  # windows apart may still cover bytes that meet
+        new = np.concatenate(([True], (spans[1:, 0] > spans[:-1, 1]) | (np.diff(owner) != 0)))
+        spans = np.column_stack((spans[new, 0], spans[np.append(np.flatnonzero(new)[1:] - 1, len(spans) - 1), 1]))
+        owner = owner[new]
+    cuts = np.searchsorted(owner, np.arange(len(sizes) + 1))
+    for k, base in enumerate((ends - sizes).tolist()):
+        yield [(a - base, b - base) for a, b in spans[cuts[k] : cuts[k + 1]].tolist()]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and removed (array of start, end in bytes)."""
-    buckets = max(2048, 8 * parallelism(docs.sparkSession))
-    docs = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), text_or_empty().alias("t"), "doc_id")
-
-    replies = materialize(_indexed(_send_runs(docs, buckets), buckets, True))
-    asked = replies.where(F.col("kind").isin(OPEN, CROWDED)).groupBy("doc").agg(*(F.collect_set(F.when(F.col("kind") == k, F.col("key"))).alias(n) for k, n in ((OPEN, "open"), (CROWDED, "crowded"))))
-    single = _indexed(_send_open(docs.join(asked, "doc"), buckets), buckets, False)
-    removed = replies.where(F.col("kind") == RUN).unionByName(single).groupBy("doc").agg(F.collect_set(F.when(F.col("kind") == RUN, F.col("key"))).alias("runs"), F.collect_set(F.when(F.col("kind") == WINDOW, F.col("key"))).alias("windows"))
-    out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<start: bigint, end: bigint>>"
-
-    def cut(doc_id, t, runs, windows):
-        raw = t.encode()
-        spans = np.zeros((0, 2), np.int64)
-        if runs or windows:
-            w = Windows(raw)
-            gone = np.zeros(w.n + 1, bool)
-            for a, b in np.column_stack((w.starts, w.ends))[np.isin(w.runs.view(np.int64), np.array(runs or [], np.int64))].tolist():
-                gone[a:b] = True
-            if windows:
-                gone[:-1] |= np.isin(w.at(np.arange(w.n)).view(np.int64), np.array(windows, np.int64))
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8)))))
-            spans = edges.reshape(-1, 2) + np.array([0, LENGTH - 1])
-            if len(spans) > 1:  # windows apart may still cover bytes that meet
-                new = np.concatenate(([True], spans[1:, 0] > spans[:-1, 1]))
-                spans = np.column_stack((spans[new, 0], spans[np.append(np.flatnonzero(new)[1:] - 1, len(spans) - 1), 1]))
-        digest, at = hashlib.sha256(), 0
-        for a, b in spans.tolist():
-            digest.update(raw[at:a])
-            at = b
-        digest.update(raw[at:])
-        return doc_id, len(raw), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), digest.hexdigest(), [{"start": a, "end": b} for a, b in spans.tolist()]
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", text_or_empty().alias("t"))
+    total = docs.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
+    tasks = max(parallelism(spark), -(-total // TASK_BYTES))
+    buckets = max(8 * tasks, -(-total // BUCKET_BYTES))
+    packed = packed_batches(docs, BATCH)
+    answers = materialize(_answer(_ask(packed, buckets), tasks))
+    bits = answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "shared", "crowded")).alias("bits"))
+    found = materialize(_indexed(_send(packed.join(bits, "batch"), buckets), tasks))
+    discard(answers)
+    removed = found.groupBy("batch").agg(F.collect_list("found").alias("found"))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                rows = [cut(*r) for r in zip(*(batch.column(i).slice(at, 2048).to_pylist() for i in range(4)))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-    return docs.join(removed, "doc", "left").select("doc_id", "t", "runs", "windows").mapInArrow(finish, out)
+        for ids, sizes, texts, found in single_rows(batches):
+            lengths, raw = opened(sizes, texts)
+            out, base = [], 0
+            for doc, size, spans in zip(ids, sizes, _cut(raw, lengths, found or [])):
+                digest, at = hashlib.sha256(), base
+                for a, b in spans:
+                    digest.update(raw[at : base + a])
+                    at = base + b
+                digest.update(raw[at : base + size])
+                out.append((doc, size, sum(b - a for a, b in spans), len(spans), digest.hexdigest(), [{"start": a, "end": b} for a, b in spans]))
+                base += size
+            yield record_batch(out, schema)
+        give_back()
+
+    whole = packed.join(removed, "batch", "left").select("ids", "sizes", "texts", "found")
+    return whole.mapInArrow(finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<start: bigint, end: bigint>>")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

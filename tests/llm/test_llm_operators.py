@@ -227,7 +227,7 @@ def text_of(text, span):
     return text[span[0] : span[2]]
 
 
-def test_suffix_dedup(docs, rows, nothing):
+def brute_repeats(rows):
     key = lambda i: (1 << 63) - 1 if i is None else i
     first = {}
     for i, t in rows:
@@ -244,36 +244,59 @@ def test_suffix_dedup(docs, rows, nothing):
                 cover[k : k + 50] = True
         kept = bytes(b for b, c in zip(raw, cover) if not c)
         want.append((str(i), len(raw), int(cover.sum()), int((np.diff(np.concatenate(([0], cover.astype(int)))) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    got = suffix_dedup.remove_repeats(docs).collect()
-    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
-    assert suffix_dedup.remove_repeats(nothing).count() == 0
+    return sorted(want)
 
 
-def test_crowded_minimizers_are_exact(docs, rows, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "SPREAD", 2)
-    monkeypatch.setattr(suffix_dedup, "CROWD", 2)
-    test_suffix_dedup(docs, rows, docs.limit(0))
+def repeats(docs):
+    return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect())
 
 
-def test_marks_outlast_the_rows_that_bear_them():
-    u, i = lambda *x: np.array(x, np.uint64), lambda *x: np.array(x, np.int64)
-    for batches in ([(u(5, 5, 9), i(1, 2, 1), u(6, 7, 8))], [(u(5, 9), i(1, 1), u(6, 8)), (u(5), i(2), u(7))], [(u(5, 9), i(2, 1), u(7, 8)), (u(5), i(1), u(6))]):
-        index = suffix_dedup.LogIndex()
-        for batch in batches:
-            index.add(*batch)
-        assert sorted(zip(*(x.tolist() for x in index.all()))) == [(5, 1, 7), (9, 1, 8)]
+def test_suffix_dedup(docs, rows, nothing):
+    assert repeats(docs) == brute_repeats(rows)
+    assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
-def test_flushes_that_share_a_marked_run():
-    minimizer, runs = np.uint64(77 << 33 | 6), np.arange(100, 200, dtype=np.uint64)
-    index, excess = suffix_dedup.LogIndex(), 0
-    for some, doc in ((runs[:3], 1), (runs, 2)):  # the second flush has too many, and its marked run is in the first
-        rows = suffix_dedup._pack_runs(some, np.full(len(some), doc, np.int64), np.full(len(some), minimizer), 2048, 0)
-        excess += sum(len(keys) for _, kind, keys, _, _ in rows if kind == suffix_dedup.CROWDED)
-        for bucket, kind, keys, docs, more in rows:
-            if kind == suffix_dedup.INDEX:
-                index.add(keys, docs, more.astype(np.uint64) | np.uint64(bucket << 32))
-    assert excess == len(runs) - suffix_dedup.SPREAD and (index.all()[2] & np.uint64(1)).any()
+@pytest.mark.parametrize("batch,crowd,taken,chunk", [(3000, 2, 500, 1000), (20_000, 1, 100, 300), (700, 50_000, 5000, 64)])
+def test_suffix_dedup_in_small_parts(docs, rows, monkeypatch, batch, crowd, taken, chunk):
+    """Many batches, minimizers that count as crowded, many levels, and texts read in pieces."""
+    for name, value in (("BATCH", batch), ("CROWD", crowd), ("TAKEN", taken), ("CHUNK", chunk)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    assert repeats(docs) == brute_repeats(rows)
+
+
+def test_a_passage_crowded_in_one_task_only(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    passage = word(60)
+    rows = [(k, word(rng.randint(0, 40)) + passage + word(rng.randint(0, 40))) for k in range(10, 160)]
+    rows += [(1, rows[70][1]), (2, passage[3:57] + word(9)), (3, (passage + word(5)) * 3)]
+    docs = spark.createDataFrame([(i, t, int(i >= 10)) for i, t in rows], "doc_id bigint, text string, part int").repartition(2, "part")
+    assert repeats(docs) == brute_repeats(rows)
+
+
+def test_levels_of_suffix_arrays():
+    """Random runs over few letters, in any order of documents, against every window looked at."""
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        index, seen, lost = suffix_dedup.LogIndex(), {}, set()
+        at = 0
+        for _ in range(rng.integers(1, 12)):
+            counts = rng.integers(1, 6, rng.integers(1, 8))
+            docs = rng.integers(1, 9, len(counts))
+            runs = [rng.choice(np.frombuffer(b"ab", np.uint8), 1).repeat(n + 49) for n in counts]
+            for r in runs:
+                r[rng.integers(0, len(r))] = ord("c")
+            places = at + np.cumsum(counts) - counts
+            at += int(counts.sum())
+            for r, d, p, n in zip(runs, docs, places, counts):
+                for k in range(n):
+                    seen[int(p + k)] = (r[k : k + 50].tobytes(), int(d))
+            lost.update(index.add(index.suffix_array(np.concatenate(runs), counts, docs, places)).tolist())
+        least = {}
+        for w, d in seen.values():
+            least[w] = min(least.get(w, d), d)
+        assert lost == {p for p, (w, d) in seen.items() if d > least[w]}
+        assert all((x[0][1:] >= x[0][:-1]).all() for x in index.levels)
 
 
 def test_quality_rules(docs, rows, nothing):
