@@ -1,25 +1,29 @@
 """Language-model scores from a probabilistic suffix tree over bytes.
 
-Symbols are the bytes of the text with A-Z in lower case, then an end symbol. Training counts every
-``depth + 1`` bytes of every training document. A context (the bytes before a symbol) is a candidate state
-if at least ``least`` of all symbols follow it, and it is retained if its next-symbol distribution diverges
-from that of its longest proper suffix: ``N(s) * KL(P(.|s) || P(.|suffix(s)))`` must reach ``gain`` nats.
-Suffixes of retained contexts are retained too. Next-symbol distributions are smoothed towards the suffix's
+Symbols are the bytes of the text with A-Z in lower case, then an end symbol. A context is up to ``depth`` bytes
+before a symbol. Every context of the training texts is a candidate state, however rare, and it is retained if
+its next-symbol distribution diverges from that of its longest proper suffix:
+``N(s) * KL(P(.|s) || P(.|suffix(s)))`` must reach ``gain`` nats. Suffixes of retained contexts are retained
+too, and so are all contexts of one byte. Next-symbol distributions are smoothed towards the suffix's
 
-    P(a|s) = (c(s, a) + g(s) * P(a|suffix(s))) / (K(s) + g(s))
+    P(a|s) = (c(s, a) + g(s) * P(a|suffix(s))) / (N(s) + g(s))
 
-where K(s) sums the counts that are kept and g(s) is the number of symbols seen plus what was not kept; the
-root is smoothed with 0.5 for each of 257 symbols. A text is scored by the longest suffix state at each byte.
+where g(s) is the number of symbols seen after s; the root is smoothed with 0.5 for each of 256 symbols. A text
+is scored by the longest suffix state at each byte.
 
-``least`` is a share, so a depth has at most ``1 / least`` states and as many symbol entries, whatever the
-corpus: that bounds what reaches the driver and every task. All other counts stay distributed.
+The tree grows with the corpus and stays distributed. Documents are packed into batches; a batch sends its
+different windows (``depth`` bytes and a symbol in one number) with their training counts, once each, dealt by
+the two bytes before the symbol, so that all longer contexts of a suffix meet in one bucket. Buckets sum the
+counts, build their part of the tree, and answer every window of every batch with its log probability. Only
+the counts after contexts of at most one byte, 65,536 at most, are needed everywhere. A bucket's windows are
+merged as they come, and batches beyond ``SALTED`` are dealt to several tasks for a bucket, each with its part of the tree.
 
-The unigram base needs the exact count of every word. Words with at least ``least_word`` of all tokens
-(again at most ``1 / least_word``) are looked up in the task; all others go through one join by word.
+The unigram base needs the exact count of every word. Words with at least ``least_word`` of all tokens (at most
+``1 / least_word``) are looked up in the task; all others go through one join by word.
 
 Null and empty texts have the end symbol and end token only. A null document id counts as held out.
 Repeated rows are scored each on its own, and all of them train. Other columns are ignored. Without training
-documents the tree is its root, uniform over symbols.
+documents the tree is its root, uniform over symbols. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,202 +31,267 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setloom.llm.common import by_size, map_batches, materialize, table, text_or_empty
+from setloom.llm.batches import by_first, opened, pack, packed_batches, parts, record_batch, single_rows, unpack
+from setloom.llm.common import discard, give_back, materialize, parallelism, table, text_or_empty
 
 #: Bytes that UTF-8 never uses: what stands before a text, and its end.
 START, END = 0xFE, 0xFF
 #: The end as a word; it holds white space, so no word of a text equals it.
 END_TOKEN = b" "
+#: Bytes of texts in a batch (or one text), symbols that are looked at once, buckets, batches that one task answers for a bucket.
+BATCH, CHUNK, BUCKETS, SALTED = 16_000_000, 2_000_000, 1024, 4096
+_U = np.uint64
 
 
 def held_out(doc_id: int | None) -> bool:
     """Whether the document is kept from training: crc32 of its id as text leaves 0 modulo 10."""
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
-
-
-def symbol_windows(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The last ``depth + 1`` symbols up to every symbol, as one number each; and the symbols of each text."""
-    pad = bytes([START]) * depth
-    raw = np.frombuffer(b"".join(pad + t + bytes([END]) for t in texts), np.uint8).astype(np.uint64)
-    n = len(raw) - depth
-    code = np.zeros(n, np.uint64)
-    for k in range(depth + 1):
-        code = (code << np.uint64(8)) | raw[k : k + n]
-    return code[raw[depth:] != START], np.array([len(t) + 1 for t in texts])
-
-
-class SuffixTree:
-    """A trained tree. ``entries[d]``: sorted (context, symbol) keys and log10 P; ``states[d]``: sorted
-    contexts and the log10 weight of their suffix."""
-
-    def __init__(self, depth: int, contexts: list[tuple[np.ndarray, np.ndarray]], counts: list[tuple[np.ndarray, np.ndarray]], gain: float):
-        """``contexts[d]``, ``counts[d]``: keys and counts of candidates at depth d."""
-        self.depth = depth
-        total = int(contexts[0][1].sum()) if len(contexts[0][1]) else 0
-        root = np.full(256, 0.5)
-        root[counts[0][0].astype(np.int64)] += counts[0][1]
-        self.root = np.log10(root / (total + 0.5 * 257))
-        retained = self._retained(contexts, counts, gain)
-        self.states: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0))]
-        self.entries: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0))]
-        for d in range(1, depth + 1):
-            keys, n = contexts[d][0][retained[d]], contexts[d][1][retained[d]].astype(float)
-            pairs, c = counts[d]
-            at, there = _find(keys, pairs >> np.uint64(8))
-            pairs, c, at = pairs[there], c[there].astype(float), at[there]
-            kept = np.bincount(at, c, len(keys))
-            rest = np.maximum(1, np.bincount(at, minlength=len(keys)) + n - kept)
-            below = 10 ** self._score(pairs & np.uint64((1 << 8 * d) - 1), d - 1)
-            self.states.append((keys, np.log10(rest / (kept + rest))))
-            self.entries.append((pairs, np.log10((c + rest[at] * below) / (kept[at] + rest[at]))))
-
-    @staticmethod
-    def _retained(contexts, counts, gain) -> list[np.ndarray]:
-        depth, passed = len(contexts) - 1, [np.ones(len(k), bool) for k, _ in contexts]
-        for d in range(1, depth + 1):
-            keys, n = contexts[d]
-            pairs, c = counts[d]
-            own, there = _find(keys, pairs >> np.uint64(8))
-            mask = np.uint64((1 << 8 * d) - 1)
-            below, found = _find(counts[d - 1][0], pairs & mask)
-            up, known = _find(contexts[d - 1][0], (pairs >> np.uint64(8)) & np.uint64((1 << 8 * (d - 1)) - 1))
-            ok = there & found & known
-            own, below, up, c = own[ok], below[ok], up[ok], c[ok].astype(float)
-            term = c * np.log(c / n[own] * contexts[d - 1][1][up] / counts[d - 1][1][below])
-            passed[d] = np.bincount(own, term, len(keys)) >= gain
-        for d in range(depth, 1, -1):  # suffixes of retained contexts stay
-            at, there = _find(contexts[d - 1][0], contexts[d][0][passed[d]] & np.uint64((1 << 8 * (d - 1)) - 1))
-            passed[d - 1][at[there]] = True
-        return passed
-
-    def _score(self, codes: np.ndarray, depth: int) -> np.ndarray:
-        out = np.zeros(len(codes))
-        left = np.arange(len(codes))
-        for d in range(depth, 0, -1):
-            key = codes[left] & np.uint64((1 << 8 * (d + 1)) - 1)
-            at, there = _find(self.entries[d][0], key)
-            out[left[there]] += self.entries[d][1][at[there]]
-            left, key = left[~there], key[~there]
-            at, there = _find(self.states[d][0], key >> np.uint64(8))
-            out[left[there]] += self.states[d][1][at[there]]
-        out[left] += self.root[(codes[left] & np.uint64(255)).astype(np.int64)]
-        return out
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text with its end."""
-        done = [np.zeros(0)]
-        for group in by_size(texts):
-            codes, sizes = symbol_windows(group, self.depth)
-            which, distinct = pd.factorize(codes)
-            done.append(np.add.reduceat(self._score(distinct, self.depth)[which], np.cumsum(sizes) - sizes))
-        return np.concatenate(done)
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each wanted number stands in the sorted keys, and whether it does."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
-def _tokens(text: str) -> list[bytes]:
-    return [*text.encode().lower().split(), END_TOKEN]
-
-
-class _Counts:
-    """A task's counts of words and symbol windows, given out when there are many and at its end."""
-
-    def __init__(self, depth: int, most: int = 3_000_000):
-        self.depth, self.most = depth, most
-        self._begin()
-
-    def _begin(self) -> None:
-        self.words: Counter[bytes] = Counter()
-        self.codes, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def __call__(self, cols: dict[str, list]) -> dict[str, list] | None:
-        texts = [t.encode().lower() for i, t in zip(cols["doc_id"], cols["t"]) if not held_out(i)]
-        for group in by_size(texts):
-            for t in group:
-                self.words.update(t.split())
-            self.words[END_TOKEN] += len(group)
-            codes, n = np.unique(symbol_windows(group, self.depth)[0], return_counts=True)
-            both, which = np.unique(np.concatenate((self.codes, codes)), return_inverse=True)
-            self.n = np.bincount(which, np.concatenate((self.n, n)), len(both)).astype(np.int64)
-            self.codes = both
-        return self.finish() if len(self.words) + len(self.codes) > self.most else None
-
-    def finish(self) -> dict[str, list] | None:
-        words, codes, n = self.words, self.codes.astype(np.int64).tolist(), self.n.tolist()
-        self._begin()
-        return {"word": [*words, *[None] * len(codes)], "code": [*[None] * len(words), *codes], "n": [*words.values(), *n]} if words else None
-
-
-def count_corpus(docs: DataFrame, depth: int) -> DataFrame:
-    """Counts over all training documents, as a table: ``word, n`` and ``code, n`` rows, summed within each
-    task before the shuffle."""
-    rows = map_batches(docs.select("doc_id", text_or_empty().alias("t")), "word binary, code bigint, n bigint", lambda: _Counts(depth))
-    return materialize(rows.groupBy("word", "code").agg(F.sum("n").alias("n")))
-
-
-def train(counts: DataFrame, depth: int, least: float, gain: float) -> SuffixTree:
-    """The tree of the ``code`` rows of :func:`count_corpus`; collects ``2 * (depth + 1) / least`` rows at most."""
-    codes = counts.where("code IS NOT NULL")
-    total = codes.agg(F.sum("n")).first()[0] or 0
-    rows = codes.select("n", F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(ctx).alias("ctx"), (F.shiftright("code", 8 * ctx).bitwiseAND(F.lit((1 << 8 * (d + 1 - ctx)) - 1))).alias("key")) for d in range(depth + 1) for ctx in (0, 1)))).alias("x"))
-    kept = rows.groupBy("x.d", "x.ctx", "x.key").agg(F.sum("n").alias("n")).where(F.col("n") >= least * total).toArrow()
-    d_of, ctx_of, key_of, n_of = (kept.column(c).to_numpy() for c in ("d", "ctx", "key", "n"))
-
-    def part(d, ctx):
-        x = np.flatnonzero((d_of == d) & (ctx_of == ctx))
-        x = x[np.argsort(key_of[x])]
-        return key_of[x].astype(np.uint64), n_of[x].astype(np.int64)
-
-    return SuffixTree(depth, [part(d, 1) for d in range(depth + 1)], [part(d, 0) for d in range(depth + 1)], gain)
-
-
-def score_documents(docs: DataFrame, depth: int = 5, least: float = 2e-7, gain: float = 10.0, least_word: float = 1e-6) -> DataFrame:
+    return doc_id is None or zlib.crc32(str(doc_id).encode()) % 10 == 0
+
+
+def symbol_windows(raw: bytes, sizes: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(the last ``depth + 1`` symbols up to every symbol as one number each, each one's text), by chunks."""
+    padded = np.full(len(raw) + len(sizes) * (depth + 1), START, np.uint8)
+    ends = np.cumsum(sizes + depth + 1)
+    padded[np.arange(len(raw)) + np.repeat((np.arange(len(sizes)) + 1) * (depth + 1) - 1, sizes)] = np.frombuffer(raw.lower(), np.uint8)
+    padded[ends - 1] = END
+    for c in range(0, len(padded) - depth, CHUNK):
+        part = padded[c : c + CHUNK + depth]
+        code = np.zeros(len(part) - depth, _U)
+        for k in range(depth + 1):
+            code = (code << _U(8)) | part[k : k + len(code)]
+        real = np.flatnonzero(part[depth:] != START)
+        yield code[real], np.searchsorted(ends, c + depth + real, side="right")
+
+
+def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and the sums of their counts."""
+    codes, counts = np.concatenate(codes), np.concatenate(counts)
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))[: len(codes)])
+    return codes[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def distinct_windows(raw: bytes, sizes: np.ndarray, training: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows of a batch and how often each stands in training texts."""
+    codes, counts = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    for code, text in symbol_windows(raw, sizes, depth):
+        learns = training[text]
+        for part, weight in ((code[learns], 1), (code[~learns], 0)):
+            one, n = np.unique(part, return_counts=True)
+            codes.append(one)
+            counts.append(n * weight)
+        if len(codes) > 16:
+            one, n = merged(codes, counts)
+            codes, counts = [one], [n]
+    return merged(codes, counts)
+
+
+def bucket_of(codes: np.ndarray) -> np.ndarray:
+    """The bucket of windows: by the two bytes before the symbol, which all longer contexts share."""
+    return ((((codes >> _U(8)) & _U(0xFFFF)) * _U(0x9E3779B97F4A7C15)) >> _U(40)).astype(np.int64) % BUCKETS
+
+
+class Shallow:
+    """Counts after contexts of at most one byte: ``log P`` of all (byte, symbol) and the counts themselves."""
+
+    def __init__(self, pairs: dict[int, int]):
+        """``pairs``: training count by (byte before, symbol) as one number."""
+        self.c = np.zeros((256, 256))
+        for key, n in pairs.items():
+            self.c[key >> 8, key & 255] = n
+        self.n = self.c.sum(axis=1)
+        root = (self.c.sum(axis=0) + 0.5) / (self.n.sum() + 128)
+        seen = (self.c > 0).sum(axis=1)
+        weight = np.maximum(1, seen)[:, None]  # a byte never seen says what the root says
+        self.p = (self.c + weight * root) / (self.n[:, None] + weight)
+
+
+def bucket_tree(codes: np.ndarray, counts: np.ndarray, depth: int, shallow: Shallow, gain: float) -> np.ndarray:
+    """log10 P of the symbol of every window (sorted, distinct), all windows of some two-byte contexts."""
+    levels, retained = {}, {}
+    for d in range(2, depth + 1):
+        key = codes & _U((1 << 8 * (d + 1)) - 1) if d < 7 else codes
+        entry, of = np.unique(key, return_inverse=True)
+        c = np.bincount(of, counts, len(entry))
+        context, owner = np.unique(entry >> _U(8), return_inverse=True)
+        levels[d] = (entry, of, c, context, owner, np.bincount(owner, c, len(context)))
+    for d in range(2, depth + 1):
+        entry, _, c, context, owner, n = levels[d]
+        if d == 2:
+            pair = ((entry & _U(0xFFFF)) >> _U(8)).astype(np.int64), (entry & _U(0xFF)).astype(np.int64)
+            below, total = shallow.c[pair], shallow.n[pair[0]]
+        else:
+            up = levels[d - 1]
+            at = np.searchsorted(up[0], entry & _U((1 << 8 * d) - 1))
+            below, total = up[2][at], up[5][up[4][at]]
+        seen = c > 0
+        term = c[seen] * np.log(c[seen] / n[owner[seen]] * total[seen] / below[seen])
+        retained[d] = np.bincount(owner[seen], term, len(context)) >= gain
+    for d in range(depth, 2, -1):  # suffixes of retained contexts stay
+        up = levels[d - 1][3]
+        retained[d - 1][np.searchsorted(up, levels[d][3][retained[d]] & _U((1 << 8 * (d - 1)) - 1))] = True
+    p = shallow.p[((codes & _U(0xFFFF)) >> _U(8)).astype(np.int64), (codes & _U(0xFF)).astype(np.int64)]
+    for d in range(2, depth + 1):
+        entry, of, c, context, owner, n = levels[d]
+        state = retained[d][owner][of]
+        weight = np.bincount(owner, c > 0, len(context))
+        c, n, g = c[of][state], n[owner][of][state], weight[owner][of][state]
+        p[state] = (c + g * p[state]) / (n + g)
+    return np.log10(p)
+
+
+def _ask(packed: DataFrame, depth: int) -> DataFrame:
+    """Per batch: its windows by bucket, and its counts of words in training texts; as a table."""
+    schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("packed", pa.binary()), ("word", pa.binary()), ("pair", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter[bytes] = Counter()
+        pairs = np.zeros(65_536, np.int64)
+        for number, ids, sizes, texts in single_rows(batches):
+            sizes, raw = opened(sizes, texts)
+            training = np.array([not held_out(i) for i in ids], bool)
+            ends = np.cumsum(sizes).tolist()
+            for end, size, learns in zip(ends, sizes.tolist(), training.tolist()):
+                if learns:
+                    words.update(raw[end - size : end].lower().split())
+                    words[END_TOKEN] += 1
+            codes, counts = distinct_windows(raw, sizes, training, depth)
+            pairs += np.bincount((codes & _U(0xFFFF)).astype(np.int64), counts, 65_536).astype(np.int64)
+            bucket = bucket_of(codes)
+            order = np.argsort(bucket, kind="stable")
+            codes, counts = codes[order], counts[order]
+            yield record_batch([(b, number, pack(codes[x], counts[x].astype(np.uint32)), None, None, None) for b, x in parts(bucket[order])], schema)
+            if len(words) > 500_000:
+                yield record_batch([(None, None, None, w, None, n) for w, n in words.items()], schema)
+                words.clear()
+        yield record_batch([(None, None, None, w, None, n) for w, n in words.items()] + [(None, None, None, None, int(k), int(pairs[k])) for k in np.flatnonzero(pairs)], schema)
+        give_back()
+
+    return materialize(packed.select("batch", "ids", "sizes", "texts").mapInArrow(run, "bucket int, batch bigint, packed binary, word binary, pair int, n bigint"))
+
+
+def _summed(rows: DataFrame, by: list[str], tasks: int, kind: type, finish=None) -> DataFrame:
+    """Windows and counts (of the given kind of number) of rows (bucket, packed) summed by ``by``; ``finish`` may
+    make of them what is packed."""
+    schema = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, codes, counts, held = None, [], [], 0
+
+        def out():
+            one, n = merged(codes, counts)
+            return record_batch([(now[0], pack(one, finish(one, n) if finish else n))], schema)
+
+        for *key, packed in single_rows(batches):
+            if now is not None and key != now:
+                yield out()
+                codes, counts, held = [], [], 0
+            now = key
+            one, n = unpack(packed, _U, kind)
+            codes.append(one)
+            counts.append(n.astype(np.int64))
+            held += len(one)
+            if len(codes) > 1 and held > 2 * len(codes[0]) + 1_000_000:  # what came since outweighs what is merged
+                one, n = merged(codes, counts)
+                codes, counts, held = [one], [n], len(one)
+        if now is not None:
+            yield out()
+        give_back()
+
+    dealt = rows.select(*by, "packed").repartition(tasks, *by).sortWithinPartitions(*by)
+    return dealt.mapInArrow(run, "bucket int, packed binary")
+
+
+def learned(asks: DataFrame, shallow, salts: int, tasks: int, depth: int, gain: float) -> DataFrame:
+    """The tree as a table (bucket, packed): the windows of each bucket and their log10 P."""
+
+    def finish(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return bucket_tree(codes, counts, depth, shallow.value, gain).astype(np.float32)
+
+    if salts == 1:
+        return materialize(_summed(asks, ["bucket"], tasks, np.uint32, finish))
+    salted = asks.withColumn("salt", F.pmod(F.xxhash64("batch"), F.lit(salts)).cast("int"))
+    return materialize(_summed(_summed(salted, ["bucket", "salt"], tasks, np.uint32), ["bucket"], tasks, np.int64, finish))
+
+
+def _answered(asks: DataFrame, tree: DataFrame, salts: int, tasks: int) -> DataFrame:
+    """Every batch's windows by bucket with their log10 P (batch, bucket, packed)."""
+    schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = score = None
+        for bucket, _, batch, packed in single_rows(batches):
+            if batch is None:
+                known, score = unpack(packed, _U, np.float32)
+            else:
+                codes, _ = unpack(packed, _U, np.uint32)
+                yield record_batch([(batch, bucket, pack(score[np.searchsorted(known, codes)]))], schema)
+        give_back()
+
+    salt = F.pmod(F.xxhash64("batch"), F.lit(salts)).cast("int").alias("salt")
+    every = tree.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("bigint").alias("batch"), "packed")
+    dealt = asks.select("bucket", salt, "batch", "packed").unionByName(every).repartition(tasks, "bucket", "salt").sortWithinPartitions("bucket", "salt", F.col("batch").asc_nulls_first())
+    return dealt.mapInArrow(run, "batch bigint, bucket int, packed binary")
+
+
+def score_documents(docs: DataFrame, depth: int = 6, gain: float = 10.0, least_word: float = 1e-6) -> DataFrame:
     """One row per document of ``docs`` (``doc_id``, ``text``): base and tree scores. See the module."""
+    if not 2 <= depth <= 7:
+        raise ValueError("depth must be 2 to 7")
     spark = docs.sparkSession
-    docs = docs.select("doc_id", text_or_empty().alias("t"))
-    counts = count_corpus(docs.withColumnRenamed("t", "text"), depth)
-    words = counts.where("word IS NOT NULL").select("word", F.col("n").alias("c"))
+    tasks = parallelism(spark)
+    packed = packed_batches(docs.select("doc_id", text_or_empty().alias("t")), BATCH)
+    found = _ask(packed, depth)
+    asks = found.where("bucket IS NOT NULL").select("bucket", "batch", "packed")
+    words = materialize(found.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")))
     distinct, total = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     common = words.where(F.col("c") >= least_word * total).toArrow()
-    shared = spark.sparkContext.broadcast((train(counts, depth, least, gain), dict(zip(common.column("word").to_pylist(), common.column("c").to_pylist()))))
+    pairs = found.where("pair IS NOT NULL").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    shallow = spark.sparkContext.broadcast(Shallow({r.pair: r.n for r in pairs}))
+    salts = max(1, -(-packed.count() // SALTED))
+    tree = learned(asks, shallow, salts, tasks, depth, gain)
+    answers = _answered(asks, tree, salts, tasks).groupBy("batch").agg(F.collect_list(F.struct("bucket", "packed")).alias("told"))
+    frequent = spark.sparkContext.broadcast(dict(zip(common.column("word").to_pylist(), common.column("c").to_pylist())))
     scale = total + 0.1 * (distinct + 1)
-
-    def start():
-        tree, frequent = shared.value
-        logs = {w: math.log10((c + 0.1) / scale) for w, c in frequent.items()}
-
-        def run(cols):
-            n_tokens, known, base, rare = [], [], [], []
-            for t in cols["t"]:
-                words = _tokens(t)
-                near = [logs[w] for w in words if w in logs]
-                n_tokens.append(len(words))
-                known.append(len(near))
-                base.append(math.fsum(near))
-                rare.append([w for w in words if w not in logs] if len(near) < len(words) else [])
-            out = {"doc_id": cols["doc_id"], "held_out": list(map(held_out, cols["doc_id"])), "n_tokens": n_tokens, "near": known, "near_score": base, "rare": rare}
-            return out | {"score": tree.score([t.encode().lower() for t in cols["t"]]).tolist()}
-
-        return run
-
-    scored = map_batches(docs, "doc_id bigint, held_out boolean, n_tokens bigint, near bigint, near_score double, rare array<binary>, score double", start, rows=1024)
-    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode("rare").alias("word")).join(words, "word", "left")
+    kind = "doc_id bigint, held_out boolean, n_tokens bigint, near bigint, near_score double, rare array<binary>, score double"
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("near", pa.int64()), ("near_score", pa.float64()), ("rare", pa.list_(pa.binary())), ("score", pa.float64())])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = {w: math.log10((c + 0.1) / scale) for w, c in frequent.value.items()}
+        for ids, sizes, texts, told in single_rows(batches):
+            lengths, raw = opened(sizes, texts)
+            codes, _ = distinct_windows(raw, lengths, np.ones(len(ids), bool), depth)
+            order = np.argsort(bucket_of(codes), kind="stable")
+            log = np.zeros(len(codes))
+            log[order] = np.concatenate([unpack(x["packed"], np.float32)[0] for x in sorted(told, key=lambda x: x["bucket"])])
+            score = np.zeros(len(ids))
+            for part, text in symbol_windows(raw, lengths, depth):
+                score += np.bincount(text, log[np.searchsorted(codes, part)], len(ids))
+            out, at = [], 0
+            for doc, size, tree_score in zip(ids, sizes, score.tolist()):
+                tokens = [*raw[at : at + size].lower().split(), END_TOKEN]
+                at += size
+                near = [logs[w] for w in tokens if w in logs]
+                out.append((doc, held_out(doc), len(tokens), len(near), math.fsum(near), [w for w in tokens if w not in logs] if len(near) < len(tokens) else [], tree_score))
+            for some in range(0, len(out), 1024):
+                yield record_batch(out[some : some + 1024], schema)
+        give_back()
+
+    rows = packed.join(answers, "batch").select("ids", "sizes", "texts", "told").mapInArrow(scored, kind)
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
+    discard(found)
+    rare = rows.select("row", F.explode("rare").alias("word")).join(words, "word", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(scale))
     rare = rare.groupBy("row").agg(F.count("c").alias("far"), F.sum(log).alias("far_score"))
-    both = scored.drop("rare").join(rare, "row", "left")
+    both = rows.drop("rare").join(rare, "row", "left")
     return both.select(
         "doc_id",
         "held_out",

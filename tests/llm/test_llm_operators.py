@@ -109,32 +109,84 @@ def test_chat_round_trip(spark):
     assert chat_format.format_conversations(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
-def test_language_model(spark, docs, rows, nothing):
-    got = suffix_tree_lm.score_documents(docs, depth=3, least=1e-9, gain=1.0, least_word=0.02).collect()
-    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
+def plain_tree(texts, depth, gain):
+    """P(symbol | bytes before) of a probabilistic suffix tree, from dictionaries."""
+    windows = []
+    for t in texts:
+        s = [suffix_tree_lm.START] * depth + list(t) + [suffix_tree_lm.END]
+        windows += [tuple(s[i - depth : i + 1]) for i in range(depth, len(s))]
+    c = [Counter(w[depth - d :] for w in windows) for d in range(depth + 1)]
+    n = [Counter(w[depth - d : depth] for w in windows) for d in range(depth + 1)]
+    after = [Counter(w[:-1] for w in c[d]) for d in range(depth + 1)]
+    states = {s for s in n[1]}
+    for d in range(2, depth + 1):
+        gains = Counter()
+        for w, k in c[d].items():
+            gains[w[:-1]] += k * math.log(k / n[d][w[:-1]] * n[d - 1][w[1:-1]] / c[d - 1][w[1:]])
+        states.update(s[d - k :] for s, g in gains.items() if g >= gain for k in range(2, d + 1))
+
+    def p(s, a):
+        if not s:
+            return (c[0][(a,)] + 0.5) / (len(windows) + 128)
+        if s not in states:
+            return p(s[1:], a)
+        d = len(s)
+        return (c[d][s + (a,)] + after[d][s] * p(s[1:], a)) / (n[d][s] + after[d][s])
+
+    def score(t):
+        s = [suffix_tree_lm.START] * depth + list(t) + [suffix_tree_lm.END]
+        return sum(math.log10(p(tuple(s[i - depth : i]), s[i])) for i in range(depth, len(s)))
+
+    return score
+
+
+@pytest.mark.parametrize("salted,chunk", [(4096, 2_000_000), (1, 500)])
+def test_language_model(spark, docs, rows, nothing, monkeypatch, salted, chunk):
+    monkeypatch.setattr(suffix_tree_lm, "BATCH", 20_000)
+    monkeypatch.setattr(suffix_tree_lm, "SALTED", salted)
+    monkeypatch.setattr(suffix_tree_lm, "CHUNK", chunk)
+    got = suffix_tree_lm.score_documents(docs, depth=4, gain=3.0, least_word=0.02).collect()
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
     words = lambda t: [*(t or "").encode().lower().split(), b" "]
     c = Counter(w for i, t in rows if not held(i) for w in words(t))
     n, v = sum(c.values()), len(c)
     base = lambda t: sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words(t))
     want = sorted((str(i), held(i), len(words(t)), sum(c[w] > 0 for w in words(t)), n, round(base(t), 6)) for i, t in rows)
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 for r in got)
-    assert suffix_tree_lm.score_documents(nothing).count() == 0
+    tree = plain_tree([(t or "").encode().lower() for i, t in rows if not held(i)], 4, 3.0)
+    want = sorted((str(i), len(words(t)), tree((t or "").encode().lower())) for i, t in rows)
+    found = sorted((str(r.doc_id), r.n_tokens, r.score) for r in got)
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) <= 1e-5 * max(1, abs(b[2])) for a, b in zip(found, want))
+    if chunk != 500:
+        assert suffix_tree_lm.score_documents(nothing).count() == 0
 
 
 def test_tree_is_a_distribution():
-    texts = [t.encode() for t in ("abababab", "abcabc", "bbbb")]
-    codes, n = np.unique(suffix_tree_lm.symbol_windows(texts, 2)[0], return_counts=True)
-
-    def part(d, ctx):
-        k, w = np.unique((codes >> np.uint64(8 * ctx)) & np.uint64((1 << 8 * (d + 1 - ctx)) - 1), return_inverse=True)
-        return k, np.bincount(w, n).astype(np.int64)
-
-    tree = suffix_tree_lm.SuffixTree(2, [part(d, 1) for d in range(3)], [part(d, 0) for d in range(3)], 0.1)
-    for context in (b"ab", b"zz", b"bb", b"\xfe\xfe"):
+    """All 256 symbols after any context, seen or not, sum to one."""
+    raw, sizes = b"ababababababcabcbbbb" * 5, np.array([40, 30, 30])
+    codes, counts = suffix_tree_lm.distinct_windows(raw, sizes, np.array([True, True, False]), 3)
+    pairs = Counter()
+    for code, n in zip(codes.tolist(), counts.tolist()):
+        pairs[code & 0xFFFF] += n
+    shallow, known = suffix_tree_lm.Shallow(pairs), dict(zip(codes.tolist(), counts.tolist()))
+    for context in (b"bab", b"zzz", b"xab", b"\xfe\xfe\xfe"):
         head = int.from_bytes(context, "big") << 8
-        every = tree._score(np.array([head | a for a in range(256)], np.uint64), 2)
-        assert abs((10**every).sum() + 10 ** tree.root.min() - 1) < 0.02  # 256 byte values of the 257 symbols
+        every = np.array(sorted({*known, *(head | a for a in range(256))}), np.uint64)
+        p = 10 ** suffix_tree_lm.bucket_tree(every, np.array([known.get(x, 0) for x in every.tolist()]), 3, shallow, 0.1)
+        assert abs(p[every >> np.uint64(8) == head >> 8].sum() - 1) < 1e-9
+
+
+def test_tree_grows_with_the_corpus():
+    """Every context of the training texts is a candidate, however rare beside the whole."""
+    rng = random.Random(12)
+    filler = "".join(rng.choices("abcdefgh ", k=200_000)).encode()
+    raw = filler + b"zqxj " * 12
+    codes, counts = suffix_tree_lm.distinct_windows(raw, np.array([len(filler), 60]), np.ones(2, bool), 3)
+    pairs = Counter()
+    for code, n in zip(codes.tolist(), counts.tolist()):
+        pairs[code & 0xFFFF] += n
+    p = dict(zip(codes.tolist(), suffix_tree_lm.bucket_tree(codes, counts, 3, suffix_tree_lm.Shallow(pairs), 10.0).tolist()))
+    assert p[int.from_bytes(b"zqxj", "big")] > math.log10(0.8)
 
 
 def test_decontamination(spark, docs, nothing):
