@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from setloom.operators import joins, sequences, splits
+from setloom.operators import joins, sequences, splits, vectors
 from setloom.plans.registry import query, run_sql, table, view
 from setloom.sources import stage_table
 from setloom.streaming import windows
@@ -31,52 +31,77 @@ def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.as_of_join(clicks, buys, ["user_id"], "ts", "value").select("user_id", "event_id", "value")
 
 
-def _peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A peak table: users are items, quarters of hours are frames, event types are bins."""
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), F.expr("cast(unix_timestamp(cast(ts as timestamp)) as bigint) div 900").alias("frame"), F.length("event_type").alias("bin")).distinct()
+def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landmarks (item, h, frame): users are items, quarters of hours are frames, bands of values are bins."""
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL")
+    peaks = e.select(F.col("user_id").alias("item"), F.expr("cast(unix_timestamp(cast(ts as timestamp)) as bigint) div 900").alias("frame"), F.floor(F.col("value") / 20).alias("bin")).distinct()
+    return joins.peak_pairs(peaks)
 
 
-_POSTINGS = """peaks AS (SELECT DISTINCT user_id AS item, CAST(floor(epoch(ts) / 900) AS BIGINT) AS frame, length(event_type) AS bin FROM events),
+_MET = """peaks AS (SELECT DISTINCT user_id AS item, CAST(floor(epoch(ts) / 900) AS BIGINT) AS frame, CAST(floor(value / 20) AS BIGINT) AS bin FROM events WHERE value IS NOT NULL),
   k AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY frame, bin) AS n FROM peaks),
-  h AS (SELECT a.item, a.frame, concat_ws('-', a.bin, b.bin, b.frame - a.frame) AS h FROM k a JOIN k b ON a.item = b.item AND b.n BETWEEN a.n + 1 AND a.n + 3 AND b.frame - a.frame <= 50),
-  tally AS (SELECT a.item AS record, b.item AS mix, b.frame - a.frame AS "offset", count(*) AS votes FROM h a JOIN h b ON a.h = b.h WHERE a.item < 20 AND b.item >= 20 AND b.item < 60 GROUP BY 1, 2, 3)"""
+  h AS (SELECT a.item, a.frame, a.bin AS f1, b.bin AS f2, b.frame - a.frame AS gap FROM k a JOIN k b ON a.item = b.item AND b.n BETWEEN a.n + 1 AND a.n + 3 AND b.frame - a.frame <= 50),
+  met AS (SELECT a.item AS record, b.item AS mix, a.frame AS rf, b.frame AS mf FROM h a JOIN h b ON a.f1 = b.f1 AND a.f2 = b.f2 AND a.gap = b.gap AND a.item <> b.item)"""
+_TALLY = f"""{_MET}, tally AS (SELECT record, mix, mf - rf AS "offset", count(*) AS votes FROM met GROUP BY ALL)"""
+_PEAK = f"""{_TALLY}, r AS (SELECT *, row_number() OVER (PARTITION BY record, mix ORDER BY votes DESC, "offset") AS k FROM tally), peak AS (SELECT record, mix, "offset", votes FROM r WHERE k = 1)"""
+#: Frames of ten days that J13 restricts the mix to.
+_SPAN = (1_894_080, 1_895_040)
 
 
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = joins.peak_pairs(_peaks(spark, sf_dir))
-    return joins.offset_votes(h.where("item < 20"), h.where("item >= 20 AND item < 60"))
+    """Every item against every other one."""
+    h = _postings(spark, sf_dir)
+    return joins.offset_votes(h, h)
 
 
-@query("j11_postings_join", f'WITH {_POSTINGS} SELECT record, mix, "offset", votes FROM tally')
+@query("j11_postings_join", f'WITH {_TALLY} SELECT record, mix, "offset", votes FROM tally')
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes by offset of shared landmarks."""
     return _votes(spark, sf_dir)
 
 
-@query("j12_postings_band", f'WITH {_POSTINGS} SELECT record, mix, "offset", votes FROM tally WHERE abs("offset" - 10 * (mix - record)) <= 40')
+@query("j12_postings_band", f'WITH {_TALLY} SELECT record, mix, "offset", votes FROM tally WHERE abs("offset" - 10 * (mix - record)) <= 400')
 def postings_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes whose offset is near the expected one."""
-    return joins.within_band(_votes(spark, sf_dir), 10 * (F.col("mix") - F.col("record")), 40)
+    return joins.within_band(_votes(spark, sf_dir), 10 * (F.col("mix") - F.col("record")), 400)
 
 
-@query("a10_vote_peak", f'WITH {_POSTINGS}, r AS (SELECT *, row_number() OVER (PARTITION BY record, mix ORDER BY votes DESC, "offset") AS k FROM tally) SELECT record, mix, "offset", votes FROM r WHERE k = 1')
+@query("a10_vote_peak", f'WITH {_PEAK} SELECT record, mix, "offset", votes FROM peak')
 def vote_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best offset of every record and mix."""
     return joins.best_offset(_votes(spark, sf_dir))
 
 
-@query("j13_span_restricted", f'WITH {_POSTINGS} SELECT record, mix, sum(votes)::BIGINT AS votes FROM tally WHERE "offset" BETWEEN 0 AND 500 GROUP BY record, mix')
+@query("j13_span_restricted", f'WITH {_MET} SELECT record, mix, mf - rf AS "offset", count(*) AS votes FROM met WHERE mf >= {_SPAN[0]} AND mf < {_SPAN[1]} GROUP BY ALL')
 def span_restricted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes within a span of offsets."""
-    return _votes(spark, sf_dir).where(F.col("offset").between(0, 500)).groupBy("record", "mix").agg(F.sum("votes").alias("votes"))
+    """Votes of landmarks within a span of the mix's frames; the span is cut before the join."""
+    h = _postings(spark, sf_dir)
+    return joins.offset_votes(h, h.where((F.col("frame") >= _SPAN[0]) & (F.col("frame") < _SPAN[1])))
 
 
-@query("l32_same_recording", f'WITH {_POSTINGS}, p AS (SELECT record, mix, max(votes) AS best FROM tally GROUP BY record, mix) SELECT record, mix, best, best >= greatest(4, 2 * (SELECT max(best) FROM p WHERE mix >= 55)) AS same FROM p')
+@query("l32_same_recording", f"""WITH {_PEAK}, buyers AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'), loud AS (SELECT record, max(votes) AS loudest FROM peak WHERE mix NOT IN (SELECT user_id FROM buyers) GROUP BY record)
+  SELECT p.record, p.mix, p.votes, p.votes >= greatest(4, 2 * coalesce(l.loudest, 0)) AS same FROM peak p LEFT JOIN loud l ON l.record = p.record""")
 def same_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs whose best vote reaches the floor that control mixes set."""
-    p = joins.best_offset(_votes(spark, sf_dir)).select("record", "mix", F.col("votes").alias("best"))
-    floor = p.where("mix >= 55").agg(F.greatest(F.lit(4), 2 * F.max("best")).alias("floor"))
-    return p.crossJoin(F.broadcast(floor)).select("record", "mix", "best", (F.col("best") >= F.col("floor")).alias("same"))
+    """Pairs whose best vote reaches the record's floor: twice the loudest control, at least 4. Users who never buy are controls."""
+    p = joins.best_offset(_votes(spark, sf_dir)).select("record", "mix", "votes")
+    buyers = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("mix")).distinct()
+    loud = p.join(buyers, "mix", "left_anti").groupBy("record").agg(F.max("votes").alias("loudest"))
+    return p.join(loud, "record", "left").select("record", "mix", "votes", (F.col("votes") >= F.greatest(F.lit(4), 2 * F.coalesce("loudest", F.lit(0)))).alias("same"))
+
+
+#: Length and hop of the windows of an anchored curve, and how far an offset may be from the anchor, in frames.
+_WINDOWS, _TOLERANCE = ((16, 4), (40, 10)), 2
+
+
+@query("e02_anchored_curve", f"""WITH {_PEAK}, w(size, hop) AS (VALUES {", ".join(map(str, _WINDOWS))}),
+  c AS (SELECT m.record, m.mix, w.size, w.hop * unnest(range(CAST(floor((m.mf - w.size) / w.hop) AS BIGINT) + 1, CAST(floor(m.mf / w.hop) AS BIGINT) + 1)) AS start, m.mf - m.rf AS found
+    FROM met m JOIN peak p ON p.record = m.record AND p.mix = m.mix AND abs(m.mf - m.rf - p."offset") <= {_TOLERANCE} CROSS JOIN w),
+  n AS (SELECT record, mix, size, start, found, count(*) AS votes FROM c GROUP BY ALL)
+  SELECT record, mix, CAST(size AS INT) AS size, start, max(votes) AS votes FROM n GROUP BY record, mix, size, start""")
+def anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes along each mix in sliding windows of two sizes: of each window the best offset near the anchor."""
+    h = _postings(spark, sf_dir)
+    return joins.anchored_curve(h, h, joins.best_offset(_votes(spark, sf_dir)), _WINDOWS, _TOLERANCE)
 
 
 _TEMPLATES = [("cut", [5.0, 0.01]), ("blend", [25.0, 0.04]), ("long", [45.0, 0.09])]
@@ -118,10 +143,15 @@ def capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.hash_pick(view(spark, sf_dir, "sets"), ["genre"], "set_id", 500).select("set_id", "genre")
 
 
-@query("l19_negative_sampling")
+_BAND = "SELECT a.track_id, b.track_id AS other FROM tracks a JOIN tracks b ON a.style = b.style AND a.artist <> b.artist AND abs(ln(a.bpm / b.bpm)) <= 0.05 + 1e-12"
+
+
+@query("l19_negative_sampling", f"""WITH p AS ({_BAND}), c AS (SELECT *, count(*) OVER (PARTITION BY track_id) AS n, row_number() OVER (PARTITION BY track_id ORDER BY md5(concat_ws('|', '42', track_id, other)), other) - 1 AS draw, row_number() OVER (PARTITION BY track_id ORDER BY other) - 1 AS at FROM p),
+  d AS (SELECT DISTINCT track_id, n, unnest(range(9)) AS draw FROM c WHERE n < 9)
+  SELECT track_id, draw, other FROM c WHERE n >= 9 AND draw < 9 UNION ALL SELECT d.track_id, d.draw, c.other FROM d JOIN c ON c.track_id = d.track_id AND c.at = (d.track_id * 7919 + d.draw * 104729 + 42) % d.n""")
 def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to nine feasible negatives of every track."""
-    return joins.hash_pick(band(spark, sf_dir), ["track_id"], "other", 9)
+    """Nine feasible negatives of every track, with replacement where there are fewer."""
+    return sequences.negatives(band(spark, sf_dir), "track_id", "other", 9)
 
 
 # --- sequences and events --------------------------------------------------------------------------------
@@ -153,12 +183,30 @@ def proof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.proof_summary(view(spark, sf_dir, "plays"), "set_id", "position", "qty", shuffles=2000)
 
 
-@query("t10_greedy_picks")
+@query("l10_longest_rising", """WITH RECURSIVE chain AS (SELECT set_id, position, qty, 1 AS n FROM plays UNION ALL SELECT p.set_id, p.position, p.qty, c.n + 1 FROM chain c JOIN plays p ON p.set_id = c.set_id AND p.position > c.position AND p.qty > c.qty)
+  SELECT set_id, max(n) AS rising FROM chain GROUP BY set_id""")
+def rising(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length of the longest strictly rising subsequence of quantities by set."""
+    return sequences.longest_rising_length(view(spark, sf_dir, "plays"), "set_id", "position", "qty", "rising")
+
+
+@query("t10_greedy_picks", """WITH o AS (SELECT set_id, list([position] ORDER BY qty DESC, position) AS l FROM plays GROUP BY set_id),
+  t AS (SELECT set_id, list_reduce(l, lambda taken, x: CASE WHEN list_min(list_transform(taken, lambda y: abs(y - x[1]))) >= 2 THEN list_concat(taken, x) ELSE taken END) AS taken FROM o)
+  SELECT set_id, unnest(taken) AS position FROM t""")
 def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heaviest plays, at least two places apart."""
     return sequences.greedy_picks(view(spark, sf_dir, "plays"), "set_id", "position", "qty", 2)
 
 
+@query("t04_top_of_each_then_all", "WITH c AS (SELECT a.track_id, b.track_id AS other, 1 - abs(b.energy - 25) / 50.0 AS score FROM tracks a JOIN tracks b ON a.style = b.style AND a.artist <> b.artist AND abs(ln(a.bpm / b.bpm)) <= 0.05 + 1e-12), r AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, other) AS k FROM c) SELECT track_id, other, score FROM r WHERE k <= 8 ORDER BY score DESC, track_id, other LIMIT 50")
+def top_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight best next tracks of every track, and the fifty best of those."""
+    energy = view(spark, sf_dir, "tracks").select(F.col("track_id").alias("other"), "energy")
+    scored = band(spark, sf_dir).join(energy, "other").withColumn("score", 1 - F.abs(F.col("energy") - 25) / 50.0)
+    best = Window.partitionBy("track_id").orderBy(F.desc("score"), "other")
+    return scored.withColumn("k", F.row_number().over(best)).where("k <= 8").orderBy(F.desc("score"), "track_id", "other").limit(50).select("track_id", "other", "score")
+
+
 @query("f09_text_similarity")
 def text_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratcliff-Obershelp ratio of neighbouring titles."""
@@ -167,20 +215,57 @@ def text_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.similarity(t.join(other, "track_id"), "title", "next_title")
 
 
-@query("l16_t04_beam_search")
+def _beam_sql(steps: int, width: int) -> str:
+    """The same search, a step of it after another."""
+    parts = ["g AS (SELECT quantile_cont(energy, 0.15) AS lo, quantile_cont(energy, 0.85) AS hi, stddev_pop(energy) + 1e-9 AS sd FROM tracks)", "b0 AS (SELECT [track_id] AS path, [artist] AS used, bpm, energy, 0.0 AS score FROM tracks WHERE track_id = 1)"]
+    for k, shape in enumerate(sequences.energy_targets(steps)[1:], 1):
+        parts += [
+            f"c{k} AS (SELECT b.path, b.used, b.score, p.track_id, p.artist, p.bpm, p.energy, -(abs(p.energy - b.energy) / 50.0 + 10 * abs(ln(p.bpm / b.bpm))) AS pair FROM b{k - 1} b JOIN tracks p ON abs(ln(b.bpm / p.bpm)) <= 0.05 AND NOT list_contains(b.path, p.track_id) AND NOT list_contains(b.used, p.artist))",
+            f"z{k} AS (SELECT *, score + (pair - avg(pair) OVER (PARTITION BY path)) / (stddev_pop(pair) OVER (PARTITION BY path) + 1e-9) + 0.7 * (1 - abs(energy - (g.lo + {shape} * (g.hi - g.lo))) / (2 * g.sd)) AS total FROM c{k}, g)",
+            f"t{k} AS (SELECT list_append(path, track_id) AS path, list_append(used, artist) AS used, bpm, energy, total AS score FROM z{k} QUALIFY row_number() OVER (PARTITION BY path ORDER BY round(total, 9) DESC, track_id) <= {width})",
+            f"u{k} AS (SELECT * FROM t{k} QUALIFY row_number() OVER (PARTITION BY list_sort(path), path[-1] ORDER BY round(score, 9) DESC, path) = 1)",
+            f"b{k} AS (SELECT * FROM u{k} ORDER BY round(score, 9) DESC, path LIMIT {width})",
+        ]
+    return f"WITH {', '.join(parts)} SELECT array_to_string(path, '>') AS path, round(score, 6) AS score FROM b{steps}"
+
+
+@query("l16_t04_beam_search", _beam_sql(4, 8))
 def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight best paths of four further tracks."""
-    t = view(spark, sf_dir, "tracks")
-    return sequences.beam_search(t, 1, 4, targets=[15.0, 25.0, 35.0, 45.0])
+    """Eight best paths of four further tracks from track 1."""
+    return sequences.beam_search(view(spark, sf_dir, "tracks").withColumn("credits", F.split("artist", " & ")), 1, 4)
 
 
-@query("l17_slot_repair", "WITH n AS (SELECT t.track_id, t.artist, t.bpm, t.energy, a.bpm AS ba, b.bpm AS bb FROM tracks t, tracks a, tracks b WHERE a.track_id = 1 AND b.track_id = 2 AND t.track_id NOT IN (1, 2)) SELECT track_id, energy FROM n WHERE abs(ln(bpm / ba)) <= 0.3 AND abs(ln(bpm / bb)) <= 0.3 ORDER BY abs(energy - 25), track_id LIMIT 5")
+@query("l17_slot_repair", """WITH g AS (SELECT stddev_pop(energy) + 1e-9 AS sd FROM tracks), n AS (SELECT t.track_id, abs(ln(t.bpm / a.bpm)) AS da, abs(ln(t.bpm / b.bpm)) AS db, abs(t.energy - a.energy) / 50.0 + abs(t.energy - b.energy) / 50.0 AS de, abs(t.energy - (a.energy + b.energy) / 2.0) / (2 * g.sd) AS off
+    FROM tracks t, tracks a, tracks b, g WHERE a.track_id = 1 AND b.track_id = 2 AND t.track_id NOT IN (1, 2) AND t.artist <> a.artist AND t.artist <> b.artist)
+  SELECT track_id, round(0.7 * (1 - off) - de - 10 * (da + db), 6) AS score FROM n WHERE da <= 0.3 AND db <= 0.3 ORDER BY round(0.7 * (1 - off) - de - 10 * (da + db), 6) DESC, track_id LIMIT 5""")
 def repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five tracks that fit best between tracks 1 and 2."""
-    t = view(spark, sf_dir, "tracks")
-    a, b = (t.where(F.col("track_id") == k).select(F.col("bpm").alias(f"b{k}")) for k in (1, 2))
-    near = t.where(~F.col("track_id").isin(1, 2)).crossJoin(F.broadcast(a)).crossJoin(F.broadcast(b)).where("abs(ln(bpm / b1)) <= 0.3 AND abs(ln(bpm / b2)) <= 0.3")
-    return near.orderBy(F.abs(F.col("energy") - 25), "track_id").limit(5).select("track_id", "energy")
+    """The five tracks that fit best between tracks 1 and 2: valid against both, closest to both, near the middle energy."""
+    return sequences.slot_repair(view(spark, sf_dir, "tracks"), 1, 2, 5, 0.3)
+
+
+_ALIAS = """w AS (SELECT CAST(ts AS DATE) AS mix, user_id AS id, min(epoch(ts) / 3600.0) AS t0, list(DISTINCT hour(ts)) AS hours, arg_min(event_type, (ts, event_id)) AS opens FROM events GROUP BY 1, 2),
+  p AS (SELECT b.mix, b.id, max(a.id) AS before FROM w a JOIN w b ON a.mix = b.mix AND a.id < b.id AND abs(a.t0 - b.t0) <= 1 AND a.opens = b.opens AND len(list_intersect(a.hours, b.hours)) >= 0.8 * least(len(a.hours), len(b.hours)) GROUP BY b.mix, b.id),
+  up AS (SELECT mix, id, before FROM p UNION ALL SELECT up.mix, up.id, p.before FROM up JOIN p ON p.mix = up.mix AND p.id = up.before)"""
+
+
+@query("e09_alias_canonical", f"WITH RECURSIVE {_ALIAS} SELECT w.mix, w.id, coalesce(min(up.before), w.id) AS canonical FROM w LEFT JOIN up ON up.mix = w.mix AND up.id = w.id GROUP BY w.mix, w.id")
+def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one id that each user of a day counts under: first hours within one, hours shared to 0.8 of the fewer, equal first events."""
+    e = table(spark, sf_dir, "events").withColumn("mix", F.to_date("ts"))
+    w = e.groupBy("mix", F.col("user_id").alias("id")).agg((F.min(F.unix_micros(F.col("ts").cast("timestamp"))) / 3.6e9).alias("t0"), F.collect_set(F.hour("ts")).alias("hours"), F.min_by("event_type", F.struct("ts", "event_id")).alias("opens"))
+    return sequences.canonical_ids(w, "mix", "id", "t0", "hours", 1.0, 0.8, same=["opens"])
+
+
+@query("e14_e15_s15_stream_log", """WITH r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, event_id, value, n FROM r WHERE k = 1""")
+def stream_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events appended to a log by a stream that is drained twice from one checkpoint, then replayed: each user's last row, and how many there are."""
+    like = table(spark, sf_dir, "events")
+    path = f"{_folder(spark)}/log-{uuid.uuid4().hex}"
+    for _ in range(2):  # the second run finds nothing left to do
+        stream = windows.read_stream(spark, f"{sf_dir}/events.parquet*", like).select("event_id", "user_id", "value")
+        windows.append_log(stream, ["event_id"], f"{path}/rows", f"{path}/checkpoint")
+    log = spark.read.parquet(f"{path}/rows")
+    return log.groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"), F.count("*").alias("n"))
 
 
 @query("l13_entity_split", """WITH c AS (SELECT genre, dj_id, count(*) AS n FROM sets GROUP BY genre, dj_id), h AS (SELECT *, row_number() OVER (PARTITION BY dj_id ORDER BY n DESC, genre) AS k, sum(n) OVER (PARTITION BY dj_id) AS every FROM c),
@@ -192,6 +277,27 @@ def split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.entity_split(spark, view(spark, sf_dir, "sets").select("dj_id", "genre", "set_id"), "dj_id", "genre", 0.15, 3, 40)
 
 
+_COSINE = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+
+
+@query("l20_hard_negatives", f"""WITH c AS (SELECT a.vec_id, b.vec_id AS other, {_COSINE} AS cosine FROM embeddings a JOIN embeddings b ON a.label <> b.label WHERE a.vec_id % 100 = 0),
+  k AS (SELECT 'hard' AS kind, * FROM c UNION ALL SELECT 'semi-hard' AS kind, * FROM c WHERE round(cosine, 6) BETWEEN 0.4 AND 0.9), r AS (SELECT *, row_number() OVER (PARTITION BY kind, vec_id ORDER BY round(cosine, 6) DESC, other) AS k FROM k)
+  SELECT kind, vec_id, other, round(cosine, 5) AS cosine FROM r WHERE k <= 5""")
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of other labels, and those at a distance of 0.1 to 0.6, for every id divisible by 100 against all."""
+    every = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    queries = every.where("vec_id % 100 = 0")
+    hard, semi = (vectors.nearest(queries, every, 5, other_label=True, least=lo, most=hi).withColumn("kind", F.lit(kind)) for kind, lo, hi in (("hard", -2.0, 2.0), ("semi-hard", 0.4, 0.9)))
+    return hard.unionByName(semi).select("kind", F.col("id").alias("vec_id"), "other", F.round("cosine", 5).alias("cosine"))
+
+
+@query("l22_similarity_stats", f"WITH c AS (SELECT {_COSINE} AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) SELECT round(avg(cosine), 5) AS mean, round(stddev_pop(cosine), 5) AS sd, round(min(cosine), 5) AS lo, round(max(cosine), 5) AS hi FROM c")
+def similarity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, deviation and extremes of the cosines of all pairs of different vectors."""
+    found = vectors.similarity_stats(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+    return found.select(*(F.round(c, 5).alias(c) for c in ("mean", "sd", "lo", "hi")))
+
+
 @query("l26_rank_metrics")
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine as a ranker, every vector against all others: same label is relevant; one true and the other labels' vectors."""
@@ -200,8 +306,7 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- sources and sinks -------------------------------------------------------------------------------------
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{base.rstrip('/')}/setloom-io-{spark.sparkContext.applicationId}"
+    return f"{stage_table.shared_dir(spark)}/setloom-io-{spark.sparkContext.applicationId}"
 
 
 @query("s01_csv_round_trip", "SELECT n_nationkey, n_name FROM nation")
@@ -212,11 +317,11 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage_table.read_csv(spark, path, T.StructType([T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType())]))
 
 
-@query("s05_json_lines", "SELECT set_id, position, track_id FROM plays WHERE set_id < 100")
+@query("s05_json_lines", "SELECT set_id, position, track_id FROM plays")
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets with nested track lists written as JSON lines, read by schema and exploded."""
     path = f"{_folder(spark)}/json"
-    nested = view(spark, sf_dir, "plays").where("set_id < 100").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("position", "track_id"))).alias("tracklist"))
+    nested = view(spark, sf_dir, "plays").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("position", "track_id"))).alias("tracklist"))
     nested.write.mode("overwrite").json(path)
     back = stage_table.read_json_lines(spark, path, nested.schema)
     return back.select("set_id", F.explode_outer("tracklist").alias("t")).select("set_id", "t.position", "t.track_id")
@@ -231,14 +336,16 @@ def json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("region", F.posexplode("d.nations").alias("p", "n")).select("region", (F.col("p") + 1).alias("place"), F.col("n.n_name").alias("name"))
 
 
-@query("s12_e11_append_and_resume", "SELECT c_custkey, c_name FROM customer WHERE c_custkey <= 120")
+@query("s12_e11_append_and_resume", "SELECT c_custkey, c_name FROM customer")
 def append_and_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stage table filled twice with overlapping rows: every key once."""
+    """A stage table filled twice with overlapping rows, at first up to the middle key, then with all: every key once."""
     path = f"{_folder(spark)}/stage"
     table(spark, sf_dir, "customer").select("c_custkey", "c_name").limit(0).write.mode("overwrite").parquet(path)
     stage = stage_table.StageTable(spark, path, T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType())]), ("c_custkey",))
-    for most in (80, 120):
-        stage.append(table(spark, sf_dir, "customer").where(F.col("c_custkey") <= most).select("c_custkey", "c_name"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    middle = customers.agg(((F.min("c_custkey") + F.max("c_custkey")) / 2).alias("middle"))
+    stage.append(customers.join(F.broadcast(middle), F.col("c_custkey") <= F.col("middle")).drop("middle"))
+    stage.append(customers)
     return stage.rows()
 
 

@@ -88,7 +88,7 @@ shared("a17_set_collect", "SELECT set_id, array_join(array_sort(collect_set(trac
 shared("a18_group_share", "SELECT s.genre, round(avg(CASE WHEN p.qty >= 32 THEN 100.0E0 ELSE 0 END), 6) AS pct FROM plays p JOIN sets s ON p.set_id = s.set_id GROUP BY s.genre")
 shared("a19_first_second_gap", "WITH r AS (SELECT dj_id, played_on, row_number() OVER (PARTITION BY dj_id ORDER BY played_on, set_id) AS k FROM sets) SELECT dj_id, datediff(max(CASE WHEN k = 2 THEN played_on END), max(CASE WHEN k = 1 THEN played_on END)) / 30.4E0 AS months FROM r GROUP BY dj_id HAVING count(*) >= 2",
        "WITH r AS (SELECT dj_id, played_on, row_number() OVER (PARTITION BY dj_id ORDER BY played_on, set_id) AS k FROM sets) SELECT dj_id, date_diff('day', max(CASE WHEN k = 1 THEN played_on END), max(CASE WHEN k = 2 THEN played_on END)) / 30.4E0 AS months FROM r GROUP BY dj_id HAVING count(*) >= 2")
-shared("a20_eta_squared", "WITH x AS (SELECT kind, votes, avg(votes) OVER (PARTITION BY kind) AS gm, avg(votes) OVER () AS m FROM votes WHERE votes IS NOT NULL) SELECT round(sum((gm - m) * (gm - m)) / sum((votes - m) * (votes - m)), 6) AS eta2 FROM x")
+shared("a20_eta_squared", "WITH t AS (SELECT avg(votes) AS m, var_pop(votes) * count(votes) AS ss FROM votes), g AS (SELECT kind, count(votes) AS n, avg(votes) AS gm FROM votes WHERE votes IS NOT NULL GROUP BY kind) SELECT round(sum(n * (gm - m) * (gm - m)) / max(ss), 6) + 0.0E0 AS eta2 FROM g CROSS JOIN t")
 shared("a21_cramers_v", "WITH o AS (SELECT genre, setting, count(*) AS n FROM sets GROUP BY genre, setting), r AS (SELECT genre, sum(n) AS rn FROM o GROUP BY genre), c AS (SELECT setting, sum(n) AS cn FROM o GROUP BY setting), t AS (SELECT sum(n) AS tn FROM o), e AS (SELECT coalesce(o.n, 0) AS n, r.rn * c.cn / CAST(t.tn AS DOUBLE) AS want, t.tn FROM r CROSS JOIN c CROSS JOIN t LEFT JOIN o ON o.genre = r.genre AND o.setting = c.setting) SELECT round(sum((n - want) * (n - want) / want), 6) AS chi2, round(sqrt(sum((n - want) * (n - want) / want) / max(tn) / least((SELECT count(*) FROM r) - 1, (SELECT count(*) FROM c) - 1)), 6) AS cramers_v FROM e")
 shared("a22_spearman", "WITH r AS (SELECT set_id, rank() OVER (PARTITION BY set_id ORDER BY qty) + (count(*) OVER (PARTITION BY set_id, qty) - 1) / 2.0E0 AS rq, CAST(position AS DOUBLE) AS rp, count(*) OVER (PARTITION BY set_id) AS n FROM plays) SELECT set_id, round(covar_pop(rp, rq) / nullif(stddev_pop(rp) * stddev_pop(rq), 0), 6) + 0.0E0 AS rho FROM r WHERE n >= 3 GROUP BY set_id HAVING stddev_pop(rq) > 0")
 shared("a23_train_only_scale", "WITH m AS (SELECT avg(bpm) AS mean, stddev_pop(bpm) AS sd FROM tracks WHERE track_id % 5 <> 0) SELECT track_id, round(coalesce((bpm - mean) / sd, 0), 6) AS z FROM tracks CROSS JOIN m")
@@ -123,7 +123,9 @@ shared("w21_merge_equal_labels", "WITH f AS (SELECT series_id, ts, event_id, kin
 shared("w22_audible_to", "WITH x AS (SELECT set_id, position, qty AS start, qty + 20 AS stop, lead(qty) OVER (PARTITION BY set_id ORDER BY position) AS nxt, max(qty) OVER (PARTITION BY set_id) + 5 AS len FROM plays) SELECT set_id, position, least(stop, coalesce(greatest(nxt, start) + 6, stop), len) AS audible_to FROM x")
 
 # 2.6 sort, limit, top-k
-shared("t01_sort_nulls_last", "SELECT event_id, nullif(kind, 'error') AS kind, row_number() OVER (ORDER BY nullif(kind, 'error') ASC NULLS LAST, votes DESC NULLS LAST, event_id) AS place FROM votes")
+#: Places over a whole table: bands of the order are counted, so that each is numbered by itself and shifted.
+shared("t01_sort_nulls_last", "WITH v AS (SELECT event_id, nullif(kind, 'error') AS kind, votes, floor(votes / 10) AS band FROM votes), c AS (SELECT kind, band, count(*) AS n FROM v GROUP BY kind, band), o AS (SELECT kind, band, sum(n) OVER (ORDER BY kind ASC NULLS LAST, band DESC NULLS LAST) - n AS before FROM c) SELECT v.event_id, v.kind, o.before + row_number() OVER (PARTITION BY v.kind, v.band ORDER BY v.votes DESC NULLS LAST, v.event_id) AS place FROM v JOIN o ON v.kind <=> o.kind AND v.band <=> o.band",
+       "SELECT event_id, nullif(kind, 'error') AS kind, row_number() OVER (ORDER BY nullif(kind, 'error') ASC NULLS LAST, votes DESC NULLS LAST, event_id) AS place FROM votes")
 shared("t02_top_global", "SELECT set_id, total FROM sets ORDER BY total DESC, set_id LIMIT 20")
 shared("t03_top_per_group", "WITH r AS (SELECT genre, set_id, total, row_number() OVER (PARTITION BY genre ORDER BY total DESC, set_id) AS k FROM sets) SELECT genre, set_id, total, k FROM r WHERE k <= 5")
 shared("t05_next_claim", "SELECT set_id FROM sets WHERE setting = 'P' ORDER BY played_on, set_id LIMIT 1")

@@ -21,7 +21,14 @@ shared("f03_split_title", "SELECT n_nationkey, CASE WHEN strpos(x, ' - ') > 0 TH
 shared("f04_genre_cascade", "SELECT track_id, CASE WHEN lower(style) LIKE '%small%' THEN 'drum' WHEN lower(style) LIKE '%economy%' THEN 'trance' WHEN lower(style) LIKE '%standard%' THEN 'tech house' WHEN lower(style) LIKE '%promo%' THEN 'techno' ELSE 'other' END AS genre FROM tracks")
 shared("f05_setting", "SELECT doc_id, CASE WHEN regexp_like(lower(text), '(club|festival|live)') AND NOT regexp_like(lower(text), '(radio|mix)') THEN 'club' WHEN regexp_like(lower(text), '(radio|mix)') THEN 'radio' WHEN text LIKE '%@%' THEN 'club' ELSE 'unknown' END AS setting FROM documents", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), '(club|festival|live)') AND NOT regexp_matches(lower(text), '(radio|mix)') THEN 'club' WHEN regexp_matches(lower(text), '(radio|mix)') THEN 'radio' WHEN text LIKE '%@%' THEN 'club' ELSE 'unknown' END AS setting FROM documents")
 shared("f05b_seam_id", "SELECT set_id, position, concat_ws('_', set_id, track_id, position) AS seam_id FROM plays")
-both("f06_clean_name", "SELECT track_id, trim(regexp_replace(concat(title, ' [promo]'), '\\[[a-z]*\\]', ''<g>)) AS name FROM tracks")
+#: Words that keep a bracket. Fixed values.
+VERSION_WORDS = ("remix", "mix", "edit", "version", "dub", "instrumental", "reprise", "remaster")
+_NAMED = "concat(title, CASE track_id % 4 WHEN 0 THEN ' [promo]' WHEN 1 THEN ' [Extended Mix]' WHEN 2 THEN ' [x Remix] [label]' ELSE ' [remixed]' END)"
+shared(
+    "f06_clean_name",
+    f"SELECT track_id, trim(regexp_replace({_NAMED}, '(?i)\\\\[(?!([^\\\\]]*\\\\s)?({'|'.join(VERSION_WORDS)})(\\\\s[^\\\\]]*)?\\\\])[^\\\\]]*\\\\]', '')) AS name FROM tracks",
+    f"SELECT track_id, trim(array_to_string(list_filter(regexp_extract_all({_NAMED}, '\\[[^\\]]*\\]|[^\\[]+|\\['), lambda x: NOT regexp_full_match(x, '\\[[^\\]]*\\]') OR len(list_intersect(string_split(lower(x[2:-2]), ' '), {list(VERSION_WORDS)})) > 0), '')) AS name FROM tracks",
+)
 both("p04_placeholder", "SELECT n_nationkey, regexp_replace(concat(n_name, ' (feat x) (live)'), '( *\\([^)]*\\))+ *$', ''<g>) AS reduced FROM nation")
 shared("p10_regex_row_filter", "SELECT doc_id FROM documents WHERE NOT regexp_like(coalesce(text, ''), '[0-9]')", "SELECT doc_id FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[0-9]')")
 shared("p15_candidate_gate", "SELECT doc_id FROM documents WHERE length(text) BETWEEN 300 AND 1200 AND NOT regexp_like(text, '(@|http|[|])')", "SELECT doc_id FROM documents WHERE length(text) BETWEEN 300 AND 1200 AND NOT regexp_matches(text, '(@|http|[|])')")

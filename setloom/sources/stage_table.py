@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it; on one machine one is made and set."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="setloom-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 class StageTable:
     """One row per key in a Parquet folder; rows are added or a new version is written, never changed in place."""
 
@@ -61,7 +74,8 @@ def read_folder(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 
 def latest_version(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """The table of the newest dated folder, found by partition value."""
-    every = spark.read.option("basePath", path).parquet(f"{path}/date=*/{table}")
-    newest = every.agg(F.max("date")).first()[0]
-    return every.where(F.col("date") == newest)
+    """The table of the newest dated folder that has it, found by the folders' names alone."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/date=*/{table}")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    newest = max(f.getPath().getParent().getName() for f in found)
+    return spark.read.option("basePath", path).parquet(f"{path}/{newest}/{table}")

@@ -34,6 +34,12 @@ def sessions(events: DataFrame, gap: str = "12 hours", late: str | None = None)
     return rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def upsert_each(stream: DataFrame, key: list[str], write: Callable[[DataFrame, int], None]):
-    """Exactly one row per key over all batches: duplicates are dropped by state, then each batch is written."""
-    return stream.dropDuplicates(key).writeStream.foreachBatch(write).trigger(availableNow=True)
+def append_log(stream: DataFrame, key: list[str], path: str, checkpoint: str) -> None:
+    """Drain a stream into a Parquet log, each key once over all runs: state drops repeated keys, and a batch that
+    is tried again replaces what it wrote before. A later run from the same checkpoint takes only what is new."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.dropDuplicates(key).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()

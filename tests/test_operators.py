@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,3 +113,49 @@ def test_csv_round_trip(spark, tmp_path):
     write_csv(spark.createDataFrame([(1, None, ["a", "b"])], "k int, v string, w array<string>"), str(tmp_path / "c"))
     back = read_csv(spark, str(tmp_path / "c"), T.StructType([T.StructField("k", T.IntegerType()), T.StructField("v", T.StringType()), T.StructField("w", T.StringType())]))
     assert [tuple(r) for r in back.collect()] == [(1, None, "a b")]
+
+
+def test_nearest_vectors_in_blocks(spark, monkeypatch):
+    from setloom.operators import vectors
+
+    monkeypatch.setattr(vectors, "QUERIES", 3)
+    monkeypatch.setattr(vectors, "ROWS", 7)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 5))
+    rows = spark.createDataFrame([(k, int(k % 3), x[k].tolist()) for k in range(40)], "id bigint, label int, vector array<double>")
+    u = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    cosine = u @ u.T
+    got = sorted((r.id, r.other) for r in vectors.nearest(rows.where("id % 4 = 0"), rows, 3, other_label=True).collect())
+    want = []
+    for q in range(0, 40, 4):
+        fit = sorted((round(-cosine[q, o], 6), o) for o in range(40) if o % 3 != q % 3)
+        want += [(q, o) for _, o in fit[:3]]
+    assert got == sorted(want)
+    every = cosine[~np.eye(40, dtype=bool)]
+    stats = vectors.similarity_stats(rows).first()
+    assert np.allclose([stats["mean"], stats["sd"], stats["lo"], stats["hi"]], [every.mean(), every.std(), every.min(), every.max()])
+
+
+def test_canonical_ids_follow_the_last_match_before(spark):
+    rows = [("m", 1, 425.31, [43, 44, 45]), ("m", 2, 425.27, [43, 44, 45]), ("m", 3, 300.0, [30, 31]), ("m", 5, 426.2, [43, 44, 45, 46]), ("n", 2, 425.3, [43])]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "mix string, id bigint, t0 double, cells array<int>, same string")
+    got = {(r.mix, r.id): r.canonical for r in sequences.canonical_ids(table, "mix", "id", "t0", "cells", 1.0, 0.8, ["same"]).collect()}
+    assert got == {("m", 1): 1, ("m", 2): 1, ("m", 3): 3, ("m", 5): 1, ("n", 2): 2}
+
+
+def test_rising_lengths_and_picks_by_array_functions(spark):
+    rng = random.Random(4)
+    groups = {g: [rng.randint(0, 9) for _ in range(rng.randint(1, 30))] for g in range(30)}
+    rows = spark.createDataFrame([(g, k, float(v)) for g, vs in groups.items() for k, v in enumerate(vs)], "g int, k int, v double")
+    got = {r.g: r.n for r in sequences.longest_rising_length(rows, "g", "k", "v", "n").collect()}
+    assert got == {g: len(sequences.longest_rising(vs)) for g, vs in groups.items()}
+    assert sequences.longest_rising([10, 50, 20, 30, 5, 40]) == [10, 20, 30, 40]
+    taken = {}
+    for r in sequences.greedy_picks(rows, "g", "k", "v", 3).collect():
+        taken.setdefault(r.g, set()).add(r.k)
+    for g, vs in groups.items():
+        want = []
+        for _, k in sorted((-v, k) for k, v in enumerate(vs)):
+            if all(abs(k - t) >= 3 for t in want):
+                want.append(k)
+        assert taken[g] == set(want)
