@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import give_back, materialize
+from setloom.llm.common import give_back, materialize, slices
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -45,8 +45,7 @@ def packed_batches(docs: DataFrame, most: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([ids], schema[0].type), pa.array([[len(t) for t in texts]], schema[1].type), pa.array([pa.compress(b"".join(texts), codec="zstd", asbytes=True)], pa.binary())], schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for some in slices(batch, 512):
                 for doc, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
                     raw = t.encode()
                     if ids and size + len(raw) > most:

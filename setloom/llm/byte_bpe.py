@@ -5,6 +5,10 @@ Every text is cut by the vocabulary's pattern; each distinct piece of a task is
 token in bytes is a running sum, and a byte maps to the character that holds it, so a character that is
 split over several tokens is given to each of them. Decoding looks the bytes of each id up, joins them and
 only then reads UTF-8, so split characters come back whole.
+
+Null and empty texts have no ids. Rows don't meet, so repeated rows and ids have repeated results and an empty
+table gives none; long texts are cut a few at a time. Columns beside those named are kept or ignored as each
+function says.
 """
 
 from __future__ import annotations

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from setloom.sources.stage_table import shared_dir
+
 #: White space that parts words, as a character class; fixed by the query contracts.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -21,19 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the cluster's ``spark.checkpoint.dir``.
-
-    Only where the session names none (single-machine tests) is a temporary folder made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="setloom-")
-        spark.sparkContext.setCheckpointDir(path)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -62,8 +52,22 @@ def give_back() -> None:
         trim(0)
 
 
+def slices(batch: pa.RecordBatch, rows: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``rows`` rows whose texts have ``most`` bytes, or one row."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    upto, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right"))
+        end = min(max(end, at + 1), at + rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, list] | None]], rows: int = 2048) -> DataFrame:
-    """Run a Python function over column lists of at most ``rows`` rows, through Arrow.
+    """Run a Python function over column lists of at most ``rows`` rows and a few MB, through Arrow.
 
     ``make`` is called once per task and gives the function; a value of None gives no rows. If the function
     has an attribute ``finish``, that is called after the task's last rows and may give more.
@@ -78,8 +82,7 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[st
         packed = lambda out: pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
         batch = part = out = None
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, rows):
                 out = f({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 if out is not None:
                     yield packed(out)

@@ -7,7 +7,7 @@ the containment ``|block & template| / |template| >= threshold`` only if it
 
 - has one of the template's first ``n - need + 1`` words in that order (prefix filter),
 - has at least ``need`` template words at all (length filter), and
-- has enough words left behind the first common one, on both sides (positional filter).
+- can have enough common words before and behind the prefix word, on both sides (positional filter).
 
 What passes is verified by the intersection itself, so nothing is missed and nothing false is found. The
 templates are few and given; their index goes to every task, and documents are neither shuffled nor joined
@@ -15,7 +15,7 @@ by key, so a hot word or source has no effect. A phrase is a template with thres
 also stand consecutively, which is checked in the blocks found.
 
 Null and empty texts give no words and no matches; repeated rows are scanned alike and all stay; other
-columns are ignored.
+columns are ignored; an empty table gives no rows. Words equally rare are ordered by their bytes.
 """
 
 from __future__ import annotations
@@ -93,8 +93,12 @@ class Index:
                     have = np.unique(part[part >= 0])
                     if len(have) < need:
                         continue
+                    # common words stand before, at, or behind this one, on both sides
+                    mine, its = int(np.searchsorted(have, ids[at])), own.index(int(ids[at]))
+                    if min(mine, its) + min(len(have) - mine, len(own) - its) < need:
+                        continue
                     common = np.intersect1d(have, own, assume_unique=True)
-                    if not len(common) or 1 + min(len(have) - np.searchsorted(have, common[0]), len(own) - own.index(int(common[0]))) - 1 < need or len(common) < need:
+                    if len(common) < need:
                         continue
                     if phrase:
                         for s in np.flatnonzero(part == seq[0]).tolist():

@@ -2,13 +2,13 @@
 
 Plain identifiers are found in the text as it is. A text that shows signs of disguise also goes through a
 transducer, which writes a normalised text and, for every character of it, the source characters it came
-from: homoglyphs and wide forms become ASCII, runs of spelled digits become digits, and ``(at)``, ``[dot]``,
-``name at host dot org`` and the like become ``@`` and ``.``. Identifiers of the normalised text are mapped
+from: homoglyphs and wide forms become ASCII, spelled digits beside other digits, spelled or not, become digits, and
+``(at)``, ``[dot]``, ``name at host dot org``, ``10 dot 0`` and the like become ``@`` and ``.``. Identifiers of the normalised text are mapped
 back to source characters and added unless a plain one of their kind covers them; a plain one may be a
 fragment of them, and both are listed.
 
 All searches are linear in the text's length. Null and empty texts have no spans; repeated rows are treated
-alike and all stay; other columns are ignored. No row meets another, so nothing is shuffled.
+alike and all stay; other columns are ignored; an empty table gives no rows. No row meets another, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -39,18 +39,21 @@ HOMOGLYPHS |= {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)} | {"﹫": "@",
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 _SPELLED = rf"(?:{'|'.join(DIGITS)})"
+#: One spelled digit or some plain ones, and what may part them.
+_TOKEN, _GAP = rf"(?:{_SPELLED}\b|[0-9]++)", r"[\s,.-]{1,3}"
 # case matters: folded, the class would also match characters that HOMOGLYPHS lacks, as the micro sign
 _GLYPH = f"(?-i:[{''.join(map(re.escape, HOMOGLYPHS))}])"
 #: Signs of disguise; only texts that show one are normalised.
-_SIGN = re.compile(rf"{_GLYPH}|[\[({{<]\s?(?:at|dot)\s?[\])}}>]|\bdot\b|\b{_SPELLED}(?:[\s,.-]+{_SPELLED}){{6,}}\b", re.I)
+_SIGN = re.compile(rf"{_GLYPH}|[\[({{<]\s?(?:at|dot)\s?[\])}}>]|\bdot\b|\b{_SPELLED}{_GAP}{_TOKEN}|[0-9]{_GAP}{_SPELLED}\b", re.I)
 _STEP = re.compile(
-    rf"(?P<digits>\b(?:plus[\s]+)?{_SPELLED}(?:[\s,.-]+{_SPELLED}){{6,}}\b)"
+    rf"(?P<digits>\b(?:plus\s)?{_TOKEN}(?:{_GAP}{_TOKEN})++|\b{_SPELLED}(?=\sdot\s)|(?<=\sdot\s){_SPELLED}\b)"
     rf"|(?P<at>\s?[\[({{<]\s?at\s?[\])}}>]\s?|(?<=[A-Za-z0-9_])\sat\s(?=[A-Za-z0-9-]+\sdot\s[A-Za-z]))"
-    rf"|(?P<dot>\s?[\[({{<]\s?dot\s?[\])}}>]\s?|(?<=[A-Za-z0-9])\sdot\s(?=[A-Za-z]))"
+    rf"|(?P<dot>\s?[\[({{<]\s?dot\s?[\])}}>]\s?|(?<=[A-Za-z0-9])\sdot\s(?=[A-Za-z0-9]))"
     rf"|(?P<glyph>{_GLYPH})",
     re.I,
 )
-_SPELLED_ONE = re.compile(rf"plus|{_SPELLED}", re.I)
+_DIGIT_OF = re.compile(rf"plus|{_SPELLED}|[0-9]", re.I)
+_LETTER = re.compile("[a-z]", re.I)
 
 
 def _luhn(digits: str) -> bool:
@@ -99,8 +102,11 @@ def normalise(text: str) -> tuple[str, list[int], list[int]]:
         put(text[at : m.start()], at)
         at = m.end()
         if m["digits"]:
-            for d in _SPELLED_ONE.finditer(m[0]):
-                put(DIGITS.get(d[0].lower(), "+"), m.start() + d.start(), m.start() + d.end())
+            if not _LETTER.search(m[0]):  # plain digits only
+                put(m[0], m.start())
+                continue
+            for d in _DIGIT_OF.finditer(m[0]):
+                put(d[0] if d[0].isdigit() else DIGITS.get(d[0].lower(), "+"), m.start() + d.start(), m.start() + d.end())
         else:
             put("@" if m["at"] else "." if m["dot"] else HOMOGLYPHS[m[0]], m.start(), m.end())
     put(text[at:], at)
