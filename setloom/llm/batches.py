@@ -16,10 +16,19 @@ from pyspark.sql import functions as F
 from setloom.llm.common import give_back, materialize, slices
 
 
+#: Level of compression; a batch is written once and shuffled as it is.
+LEVEL = 5
+
+
+def squeeze(raw: bytes) -> bytes:
+    """Bytes compressed."""
+    return pa.Codec("zstd", compression_level=LEVEL).compress(raw, asbytes=True)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one row's columns as compressed bytes, each behind its length."""
     raw = b"".join(len(x := a.tobytes()).to_bytes(8, "little") + x for a in arrays)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + squeeze(raw)
 
 
 def unpack(packed: bytes, *kinds: type) -> list[np.ndarray]:
@@ -42,7 +51,7 @@ def packed_batches(docs: DataFrame, most: int) -> DataFrame:
         ids, texts, size = [], [], 0
 
         def flushed():
-            return pa.RecordBatch.from_arrays([pa.array([ids], schema[0].type), pa.array([[len(t) for t in texts]], schema[1].type), pa.array([pa.compress(b"".join(texts), codec="zstd", asbytes=True)], pa.binary())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([ids], schema[0].type), pa.array([[len(t) for t in texts]], schema[1].type), pa.array([squeeze(b"".join(texts))], pa.binary())], schema=schema)
 
         for batch in batches:
             for some in slices(batch, 512):

@@ -216,7 +216,7 @@ def _send(answered: DataFrame, buckets: int) -> DataFrame:
                 k = own[x]
                 ends = starts[k] + counts[k] + LENGTH - 1
                 text = np.frombuffer(b"".join([raw[s:e] for s, e in zip(starts[k].tolist(), ends.tolist())]), np.uint8)
-                rows.append((b, PIECES, number, pack(text, counts[k].astype(np.uint8), at[k].astype(np.uint32), doc[k], starts[k].astype(np.uint32))))
+                rows.append((b, PIECES, number, pack(text, counts[k].astype(np.uint8), at[k].astype(np.uint32), np.diff(doc[k], prepend=0), np.diff(starts[k], prepend=0).astype(np.uint32))))
             yield record_batch(rows, _SENT_ARROW)
         give_back()
 
@@ -282,6 +282,7 @@ def _resolved(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
     """Step 3 for one bucket (rows of batch, packed): (batches, first windows, windows) that are removed."""
     text, counts, codes, docs, starts = zip(*(unpack(r[1], np.uint8, np.uint8, np.uint32, np.int64, np.uint32) for r in rows))
     batch = np.repeat(np.array([r[0] for r in rows], np.int64), [len(c) for c in counts])
+    docs, starts = ([np.cumsum(x, dtype=x.dtype) for x in steps] for steps in (docs, starts))  # sent as steps
     counts, codes, docs, starts = (np.concatenate(x) for x in (counts, codes, docs, starts))
     counts, raw = counts.astype(np.int64), b"".join(x.tobytes() for x in text)
     ends = np.cumsum(counts + LENGTH - 1)
