@@ -159,3 +159,28 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels("matches").alias("labels"),
         F.coalesce(F.array_max(F.transform("matches", lambda m: m.containment)), F.lit(0.0)).alias("score"),
     )
+
+
+def _duck() -> str:
+    """The same by DuckDB: words as rows, phrases by their first word, blocks by the template words in them."""
+    index = Index(TEMPLATES, PHRASES, 0.8, {})
+    name = {v: k.decode() for k, v in index.order.items()}
+    quoted = lambda words: "[" + ", ".join(f"'{name[x]}'" for x in words) + "]"
+    rows = ", ".join(f"({k}, '{label}', {quoted(seq)}, {quoted(own)}, {need}, {phrase}, {step})" for k, (label, seq, own, need, phrase, step) in enumerate(index.entries))
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH t(k, label, seq, own, need, phrase, step) AS (VALUES {rows}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{capitals}', '{capitals.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+w AS (SELECT r, p, words[p + 1] AS word FROM (SELECT r, words, unnest(range(len(words))) AS p FROM d) x),
+base AS (SELECT w.r, t.label, w.p FROM w JOIN t ON t.phrase AND w.word = t.seq[1] JOIN d ON d.r = w.r AND d.words[w.p + 1 : w.p + len(t.seq)] = t.seq),
+o AS (SELECT k, label, len(own) AS size, need, step, unnest(own) AS word FROM t WHERE NOT phrase),
+h AS (SELECT w.r, o.k, o.label, o.size, o.need, o.word, w.p // o.step - v.back AS block FROM w JOIN o ON o.word = w.word, (VALUES (0), (1)) v(back) WHERE w.p // o.step >= v.back),
+m AS (SELECT r, label, count(DISTINCT word) / CAST(size AS DOUBLE) AS share FROM h GROUP BY r, k, label, size, need, block HAVING count(DISTINCT word) >= need),
+b AS (SELECT r, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
+a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM (SELECT r, label, share FROM m UNION ALL SELECT r, label, 1.0 FROM base) y GROUP BY r)
+SELECT d.doc_id, len(d.words) AS n_words, coalesce(b.n_base, 0) AS n_base, b.first_word, b.last_word, coalesce(b.base_labels, '') AS base_labels, coalesce(a.labels, '') AS labels, coalesce(a.score, 0.0) AS score
+FROM d LEFT JOIN b ON b.r = d.r LEFT JOIN a ON a.r = d.r
+"""
+
+
+SQL = _duck()

@@ -22,6 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_license_scan": license_scan.SQL,
     "op3_chat_format": chat_format.SQL,
+    "op7_suffix_dedup": suffix_dedup.SQL,
     "op8_quality_rules": quality_rules.SQL,
+    "op9_jaccard_join": jaccard_join.SQL,
 }

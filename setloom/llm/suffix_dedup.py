@@ -412,3 +412,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is removed from every document, and the digest of what is kept."""
     return remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
+#: The same by DuckDB: every window as hexadecimal text with its smallest document, and the bytes that are left.
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT r, id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM d) t),
+f AS (SELECT s, min(id) AS first FROM w GROUP BY s HAVING count(*) > 1),
+g AS (SELECT w.r, w.p, coalesce(w.p > lag(w.p) OVER (PARTITION BY w.r ORDER BY w.p) + 50, TRUE) AS new FROM w JOIN f ON f.s = w.s WHERE w.id > f.first),
+k AS (SELECT r, p, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS span FROM g),
+spans AS (SELECT r, span, min(p) AS a, max(p) + 50 AS b FROM k GROUP BY r, span),
+kept AS (SELECT d.r, substr(d.h, 2 * lag(s.b, 1, 0) OVER (PARTITION BY d.r ORDER BY s.a) + 1, 2 * (s.a - lag(s.b, 1, 0) OVER (PARTITION BY d.r ORDER BY s.a))) AS piece, s.a, s.b FROM d JOIN spans s ON s.r = d.r),
+x AS (SELECT r, string_agg(piece, '' ORDER BY a) AS head, max(b) AS b, count(*) AS n, sum(b - a) AS removed FROM kept GROUP BY r)
+SELECT d.doc_id, len(d.h) // 2 AS n_bytes, CAST(coalesce(x.removed, 0) AS BIGINT) AS n_removed, coalesce(x.n, 0) AS n_spans, sha256(unhex(coalesce(x.head, '') || substr(d.h, 2 * coalesce(x.b, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN x ON x.r = d.r
+"""
