@@ -14,7 +14,8 @@ is scored by the longest suffix state at each byte.
 The tree grows with the corpus and stays distributed. Documents are packed into batches; a batch sends its
 different windows (``depth`` bytes and a symbol in one number) with their training counts, once each, dealt by
 the two bytes before the symbol, so that all longer contexts of a suffix meet in one bucket. Buckets sum the
-counts, build their part of the tree, and answer every window of every batch with its log probability. Only
+counts, build their part of the tree, and answer every window of every batch with its log probability, in
+16 bits. Only
 the counts after contexts of at most one byte, 65,536 at most, are needed everywhere. A bucket's windows are
 merged as they come, and batches beyond ``SALTED`` are dealt to several tasks for a bucket, each with its part of the tree.
 
@@ -34,6 +35,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,9 @@ START, END = 0xFE, 0xFF
 END_TOKEN = b" "
 #: Bytes of texts in a batch (or one text), symbols that are looked at once, buckets, batches that one task answers for a bucket.
 BATCH, CHUNK, BUCKETS, SALTED = 16_000_000, 2_000_000, 1024, 4096
+#: Steps to a unit of the root of -log10 P, as which a log probability is sent: 16 bits reach 10**-16, and a symbol of
+#: log probability -x is off by 0.00006 times the root of x at most.
+STEPS = 16_384
 _U = np.uint64
 
 
@@ -88,12 +93,21 @@ def distinct_windows(raw: bytes, sizes: np.ndarray, training: np.ndarray, depth:
             one, n = np.unique(part, return_counts=True)
             codes.append(one)
             counts.append(n * weight)
-        if len(codes) > 16:
+        if len(codes) > 6:
             one, n = merged(codes, counts)
             codes, counts = [one], [n]
     return merged(codes, counts)
 
 
+def numbered_windows(raw: bytes, sizes: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Distinct windows of a batch, and by chunks: its distinct windows, each symbol's number among them, and its text."""
+    chunks = []
+    for code, text in symbol_windows(raw, sizes, depth):
+        number, known = pd.factorize(code)
+        chunks.append((known, number.astype(np.int32), text.astype(np.int32)))
+    return np.unique(np.concatenate([c[0] for c in chunks])), chunks
+
+
 def bucket_of(codes: np.ndarray) -> np.ndarray:
     """The bucket of windows: by the two bytes before the symbol, which all longer contexts share."""
     return ((((codes >> _U(8)) & _U(0xFFFF)) * _U(0x9E3779B97F4A7C15)) >> _U(40)).astype(np.int64) % BUCKETS
@@ -169,7 +183,7 @@ def _ask(packed: DataFrame, depth: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             codes, counts = codes[order], counts[order]
             yield record_batch([(b, number, pack(codes[x], counts[x].astype(np.uint32)), None, None, None) for b, x in parts(bucket[order])], schema)
-            if len(words) > 500_000:
+            if len(words) > 200_000:
                 yield record_batch([(None, None, None, w, None, n) for w, n in words.items()], schema)
                 words.clear()
         yield record_batch([(None, None, None, w, None, n) for w, n in words.items()] + [(None, None, None, None, int(k), int(pairs[k])) for k in np.flatnonzero(pairs)], schema)
@@ -214,7 +228,8 @@ def learned(asks: DataFrame, shallow, salts: int, tasks: int, depth: int, gain:
     """The tree as a table (bucket, packed): the windows of each bucket and their log10 P."""
 
     def finish(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return bucket_tree(codes, counts, depth, shallow.value, gain).astype(np.float32)
+        log = np.minimum(0, bucket_tree(codes, counts, depth, shallow.value, gain))
+        return np.minimum(np.rint(np.sqrt(-log) * STEPS), 65_535).astype(np.uint16)
 
     if salts == 1:
         return materialize(_summed(asks, ["bucket"], tasks, np.uint32, finish))
@@ -228,12 +243,17 @@ def _answered(asks: DataFrame, tree: DataFrame, salts: int, tasks: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = score = None
+        out: list[tuple] = []
         for bucket, _, batch, packed in single_rows(batches):
             if batch is None:
-                known, score = unpack(packed, _U, np.float32)
+                known, score = unpack(packed, _U, np.uint16)
             else:
                 codes, _ = unpack(packed, _U, np.uint32)
-                yield record_batch([(batch, bucket, pack(score[np.searchsorted(known, codes)]))], schema)
+                out.append((batch, bucket, pack(score[np.searchsorted(known, codes)])))
+            if len(out) >= 256:
+                yield record_batch(out, schema)
+                out = []
+        yield record_batch(out, schema)
         give_back()
 
     salt = F.pmod(F.xxhash64("batch"), F.lit(salts)).cast("int").alias("salt")
@@ -258,7 +278,10 @@ def score_documents(docs: DataFrame, depth: int = 6, gain: float = 10.0, least_w
     shallow = spark.sparkContext.broadcast(Shallow({r.pair: r.n for r in pairs}))
     salts = max(1, -(-packed.count() // SALTED))
     tree = learned(asks, shallow, salts, tasks, depth, gain)
-    answers = _answered(asks, tree, salts, tasks).groupBy("batch").agg(F.collect_list(F.struct("bucket", "packed")).alias("told"))
+    answered = materialize(_answered(asks, tree, salts, tasks))
+    discard(found)
+    discard(tree)
+    answers = answered.groupBy("batch").agg(F.collect_list(F.struct("bucket", "packed")).alias("told"))
     frequent = spark.sparkContext.broadcast(dict(zip(common.column("word").to_pylist(), common.column("c").to_pylist())))
     scale = total + 0.1 * (distinct + 1)
     kind = "doc_id bigint, held_out boolean, n_tokens bigint, near bigint, near_score double, rare array<binary>, score double"
@@ -268,13 +291,14 @@ def score_documents(docs: DataFrame, depth: int = 6, gain: float = 10.0, least_w
         logs = {w: math.log10((c + 0.1) / scale) for w, c in frequent.value.items()}
         for ids, sizes, texts, told in single_rows(batches):
             lengths, raw = opened(sizes, texts)
-            codes, _ = distinct_windows(raw, lengths, np.ones(len(ids), bool), depth)
+            codes, chunks = numbered_windows(raw, lengths, depth)
             order = np.argsort(bucket_of(codes), kind="stable")
             log = np.zeros(len(codes))
-            log[order] = np.concatenate([unpack(x["packed"], np.float32)[0] for x in sorted(told, key=lambda x: x["bucket"])])
+            log[order] = -((np.concatenate([unpack(x["packed"], np.uint16)[0] for x in sorted(told, key=lambda x: x["bucket"])]) / STEPS) ** 2)
             score = np.zeros(len(ids))
-            for part, text in symbol_windows(raw, lengths, depth):
-                score += np.bincount(text, log[np.searchsorted(codes, part)], len(ids))
+            for known, number, text in chunks:
+                score += np.bincount(text, log[np.searchsorted(codes, known)][number], len(ids))
+            del chunks
             out, at = [], 0
             for doc, size, tree_score in zip(ids, sizes, score.tolist()):
                 tokens = [*raw[at : at + size].lower().split(), END_TOKEN]
@@ -287,7 +311,8 @@ def score_documents(docs: DataFrame, depth: int = 6, gain: float = 10.0, least_w
 
     rows = packed.join(answers, "batch").select("ids", "sizes", "texts", "told").mapInArrow(scored, kind)
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
-    discard(found)
+    discard(answered)
+    discard(packed)
     rare = rows.select("row", F.explode("rare").alias("word")).join(words, "word", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(scale))
     rare = rare.groupBy("row").agg(F.count("c").alias("far"), F.sum(log).alias("far_score"))
