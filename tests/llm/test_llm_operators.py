@@ -204,11 +204,14 @@ def test_decontamination(spark, docs, nothing):
     assert decontaminate.find_leaks(more, items.limit(0)).count() == 0
 
 
-def test_tiles_equal_repeated_scans():
+def test_tiles_equal_repeated_scans(monkeypatch):
     rng = random.Random(4)
     for _ in range(200):
-        a, b, k = [rng.choice("abc") for _ in range(rng.randint(1, 14))], [rng.choice("abc") for _ in range(rng.randint(1, 20))], 2
-        seeds = [(i, j) for i in range(len(a) - k + 1) for j in range(len(b) - k + 1) if a[i : i + k] == b[j : j + k]]
+        letters, k = rng.choice(("abc", "abcdefgh")), rng.randint(1, 3)
+        a, b = [rng.choice(letters) for _ in range(rng.randint(1, 14))], [rng.choice(letters) for _ in range(rng.randint(1, 20))]
+        if rng.random() < 0.5:  # a passage in both
+            at = rng.randrange(len(b))
+            b[at:at] = a[rng.randrange(len(a)) :]
         used_a, used_b, want = set(), set(), []
         while True:
             best = None
@@ -224,7 +227,11 @@ def test_tiles_equal_repeated_scans():
             want.append(best)
             used_a.update(range(best[0], best[0] + best[2]))
             used_b.update(range(best[1], best[1] + best[2]))
-        assert [t[2] for t in decontaminate.tile(seeds, k)] == [t[2] for t in want]
+        first, second = (decontaminate.Words(np.array([ord(x) for x in y])) for y in (a, b))
+        for step, pairs in ((32, 1_000_000), (4, 3)):
+            monkeypatch.setattr(decontaminate, "FIRST", step)
+            monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+            assert decontaminate.tile(first, second, k) == want
 
 
 def plain_spans(text):
