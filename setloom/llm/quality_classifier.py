@@ -12,7 +12,10 @@ counted rows are few, else joined with the document side dealt over ``salts`` pa
 third of all documents is no hot key.
 
 Null and empty texts have no evidence; null hosts and paths are groups of their own. Repeated rows are scored
-alike and all stay. Without labels of both kinds a target has no evidence and its rate is the sample's (half without labels).
+alike and all stay, and of repeated labels of a document the worst counts; labels without an id or of unknown documents
+teach nothing, a null label counts as good. Without labels of both kinds a target has no evidence and its rate is the
+sample's (half without labels). Features equally telling are taken in the order of their bytes. Other columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -72,7 +75,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 50_000, most: int = 5_
     At most ``sample`` labelled rows teach, and at most ``most`` features per target are kept: those whose
     presence differs most between the classes (chi-square).
     """
-    chosen = labels.where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    single = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    chosen = single.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     known = {r.doc_id: (int(r.quality == 0), int(r.toxic == 1)) for r in chosen.select("doc_id", "quality", "toxic").collect()}
     sizes = [sum(x[k] for x in known.values()) for k in range(2)]
     total = len(known)

@@ -96,6 +96,77 @@ def test_classifier_learns_and_shrinks(spark):
     assert quality_classifier.classify(docs.limit(0), labels).count() == 0
 
 
+def plain_classifier(rows, labels):
+    """Posteriors of (doc_id, text, path, host) rows by the module's definition, row by row."""
+    worst = {}
+    for i, q, t in labels:
+        if i is not None:
+            bad, toxic = worst.get(i, (0, 0))
+            worst[i] = (bad | int(q == 0), toxic | int(t == 1))
+    total, evidence = len(worst), []
+    for k in range(2):
+        ones = sum(x[k] for x in worst.values())
+        prior, n, c = math.log((ones + 0.5) / (total - ones + 0.5)), Counter(), Counter()
+        for i, t, _, _ in rows:
+            if i in worst:
+                n.update(f := quality_classifier.features(t or ""))
+                c.update(f if worst[i][k] else ())
+        weights = {}
+        for f, m in n.items():
+            if m >= 5 and 0 < ones < total:
+                e = m * ones / total
+                if (c[f] - e) ** 2 / e + (c[f] - e) ** 2 / (m * (total - ones) / total) >= 30:
+                    weights[f] = math.log((c[f] + 0.5) / (ones + 1) / ((m - c[f] + 0.5) / (total - ones + 1)))
+        evidence.append([max(-20.0, min(20.0, prior + sum(weights.get(f, 0.0) for f in (quality_classifier.features(t) if t else ())))) for _, t, _, _ in rows])
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def strength(groups):  # (n, s, rate above)
+        n = sum(g[0] for g in groups)
+        if len(groups) < 2:
+            return 1e6
+        between = (sum(g[0] * (g[1] / g[0] - g[2]) ** 2 for g in groups) - sum(g[2] * (1 - g[2]) for g in groups)) / n
+        return 1e6 if between <= 1e-12 else min(1e6, max(1.0, sum(g[0] * g[2] * (1 - g[2]) for g in groups) / n / between - 1))
+
+    out = []
+    for scores in evidence:
+        p = [sigmoid(x) for x in scores]
+        mean = min(1 - 1e-6, max(1e-6, sum(p) / len(p)))
+        hosts, paths = {}, {}
+        for (_, _, path, host), x in zip(rows, p):
+            for groups, key in ((hosts, host), (paths, (host, path))):
+                a, b = groups.get(key, (0, 0.0))
+                groups[key] = (a + 1, b + x)
+        top = strength([(a, b, mean) for a, b in hosts.values()])
+        rate = {h: (b + top * mean) / (a + top) for h, (a, b) in hosts.items()}
+        low = strength([(a, b, rate[h]) for (h, _), (a, b) in paths.items()])
+        final = []
+        for (_, _, path, host), e, x in zip(rows, scores, p):
+            a, b = paths[host, path]
+            rest = min(1 - 1e-6, max(1e-6, (b - x + low * rate[host]) / (a - 1 + low)))
+            final.append(sigmoid(e + math.log(rest / (1 - rest)) - math.log(mean / (1 - mean))))
+        out.append(final)
+    return list(zip(*out))
+
+
+def test_classifier_equals_plain_python(spark, monkeypatch):
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(30)]
+    rows = []
+    for k in range(300):
+        bad, toxic = rng.random() < 0.3, rng.random() < 0.2
+        t = " ".join(rng.choices(words + ["junk"] * 20 * bad + ["vile"] * 15 * toxic, k=rng.randint(1, 60)))
+        rows.append((k, t, rng.choice(("a", "b", None)), "hot" if k % 3 else rng.choice(("x", "y", None)), bad, toxic))
+    plain = [r[:4] for r in rows] + [(None, None, None, None), (300, None, "a", "x"), (301, "", "b", "hot"), (302, "vile " * 50_000, "a", "hot"), rows[5][:4]]
+    labels = [(r[0], int(not r[4]), int(r[5])) for r in rows if r[0] % 2] + [(1, 0, 0), (None, 0, 1), (9999, 1, 0), (3, None, None)]
+    docs = spark.createDataFrame([(*r, 1, "z") for r in plain], "doc_id bigint, text string, lang string, source string, n bigint, host string").drop("n")
+    table = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    want = sorted((str(r[0]), str(r[3]), round(a, 6), round(b, 6)) for r, (a, b) in zip(plain, plain_classifier(plain, labels)))
+    for most in (200_000, 0):  # rates broadcast, and dealt over salts
+        monkeypatch.setattr(quality_classifier, "BROADCAST_RATES", most)
+        got = quality_classifier.classify(docs, table).collect()
+        assert sorted((str(r.doc_id), str(r.host), round(r.p_bad, 6), round(r.p_toxic, 6)) for r in got) == want
+
+
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "<|turn|>", "<\\|turn|>", "<\\\\|done|>x", "a<|more|>", "<", "\\", None, "", "é<|says|>\n", "[/INST]" * 3, "<<SYS>>"]
     rows = [(1, k, ("user", "assistant", "assistant", None)[k % 4], t) for k, t in enumerate(nasty)] + [(2, 0, "a<|says|>", "x"), (2, 0, "a<|says|>", "x"), (None, 1, "assistant", "y")]
