@@ -31,11 +31,15 @@ def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.as_of_join(clicks, buys, ["user_id"], "ts", "value").select("user_id", "event_id", "value")
 
 
-def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landmarks (item, h, frame): users are items, quarters of hours are frames, bands of values are bins."""
+def _peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks (item, frame, bin): users are items, quarters of hours are frames, bands of values are bins."""
     e = table(spark, sf_dir, "events").where("value IS NOT NULL")
-    peaks = e.select(F.col("user_id").alias("item"), F.expr("cast(unix_timestamp(cast(ts as timestamp)) as bigint) div 900").alias("frame"), F.floor(F.col("value") / 20).alias("bin")).distinct()
-    return joins.peak_pairs(peaks)
+    return e.select(F.col("user_id").alias("item"), F.expr("cast(unix_timestamp(cast(ts as timestamp)) as bigint) div 900").alias("frame"), F.floor(F.col("value") / 20).alias("bin")).distinct()
+
+
+def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landmarks (item, h, frame) of the peaks."""
+    return joins.peak_pairs(_peaks(spark, sf_dir))
 
 
 _MET = """peaks AS (SELECT DISTINCT user_id AS item, CAST(floor(epoch(ts) / 900) AS BIGINT) AS frame, CAST(floor(value / 20) AS BIGINT) AS bin FROM events WHERE value IS NOT NULL),
@@ -104,6 +108,56 @@ def anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.anchored_curve(h, h, joins.best_offset(_votes(spark, sf_dir)), _WINDOWS, _TOLERANCE)
 
 
+#: Speeds in the order in which they are tried, and the fine steps around the best. Fixed values.
+COARSE_RATES, FINE_RATE_STEP, FINE_RATE_STEPS = (1.0, 0.99, 1.01, 0.98, 1.02, 0.97, 1.03, 0.96, 1.04), 0.0005, 5
+#: Votes that settle the first speed, and that are worth fine steps; for landmarks of events.
+_EARLY, _FINE_LEAST = 6, 3
+
+
+def _speed_sql() -> str:
+    """The same search, a step of it after another."""
+
+    def tried(n: str, rates: str, pairs: str) -> list[str]:
+        return [
+            f"{n}p AS (SELECT DISTINCT p.item, r.rate, CAST(floor(p.frame / r.rate) AS BIGINT) AS frame, p.bin FROM p0 p JOIN {rates} r ON r.item = p.item)",
+            f"{n}k AS (SELECT *, row_number() OVER (PARTITION BY item, rate ORDER BY frame, bin) AS n FROM {n}p)",
+            f"{n}h AS (SELECT a.item, a.rate, a.frame, a.bin AS f1, b.bin AS f2, b.frame - a.frame AS gap FROM {n}k a JOIN {n}k b ON a.item = b.item AND a.rate = b.rate AND b.n BETWEEN a.n + 1 AND a.n + 3 AND b.frame - a.frame <= 50)",
+            f"""{n}v AS (SELECT a.item AS record, b.item AS mix, a.rate, b.frame - a.frame AS "offset", count(*) AS votes FROM {n}h a JOIN mh b ON a.f1 = b.f1 AND a.f2 = b.f2 AND a.gap = b.gap AND a.item <> b.item {pairs} GROUP BY ALL)""",
+            f"""{n}b AS (SELECT * FROM {n}v QUALIFY row_number() OVER (PARTITION BY record, mix, rate ORDER BY votes DESC, "offset") = 1)""",
+        ]
+
+    parts = [
+        _MET.split(",\n  k AS")[0],
+        "p0 AS (SELECT item, frame - min(frame) OVER (PARTITION BY item) AS frame, bin FROM peaks)",
+        "one AS (SELECT DISTINCT item, 1.0E0 AS rate FROM p0)",
+        *tried("m", "one", "AND FALSE")[:2],
+        "mh AS (SELECT a.item, a.frame, a.bin AS f1, b.bin AS f2, b.frame - a.frame AS gap FROM mk a JOIN mk b ON a.item = b.item AND b.n BETWEEN a.n + 1 AND a.n + 3 AND b.frame - a.frame <= 50)",
+        f"o(rate, nth) AS (VALUES {', '.join(f'({r!r}E0, {k})' for k, r in enumerate(COARSE_RATES))})",
+        "cr AS (SELECT i.item, o.rate FROM (SELECT DISTINCT item FROM p0) i, o)",
+        *tried("c", "cr", ""),
+        "cn AS (SELECT c.*, o.nth, max(CASE WHEN o.nth = 0 THEN c.votes END) OVER (PARTITION BY c.record, c.mix) AS first FROM cb c JOIN o ON o.rate = c.rate)",
+        f"""s0 AS (SELECT record, mix, rate, "offset", votes FROM cn WHERE nth = 0 OR coalesce(first, 0) < {_EARLY} QUALIFY row_number() OVER (PARTITION BY record, mix ORDER BY votes DESC, nth) = 1)""",
+    ]
+    for k in range(1, FINE_RATE_STEPS + 1):
+        off = f"{k * FINE_RATE_STEP!r}E0"
+        parts += [
+            f"n{k} AS (SELECT record, mix, 0 AS side, rate - {off} AS rate FROM s{k - 1} WHERE votes >= {_FINE_LEAST} UNION ALL SELECT record, mix, 1, rate + {off} FROM s{k - 1} WHERE votes >= {_FINE_LEAST})",
+            f"r{k} AS (SELECT DISTINCT record AS item, rate FROM n{k})",
+            *tried(f"f{k}", f"r{k}", f"JOIN n{k} w ON w.record = a.item AND w.mix = b.item AND w.rate = a.rate"),
+            f"""s{k} AS (SELECT record, mix, rate, "offset", votes FROM (SELECT -1 AS side, * FROM s{k - 1} UNION ALL BY NAME SELECT w.side, f.* FROM f{k}b f JOIN n{k} w ON w.record = f.record AND w.mix = f.mix AND w.rate = f.rate) u QUALIFY row_number() OVER (PARTITION BY record, mix ORDER BY votes DESC, side) = 1)""",
+        ]
+    return f"""WITH {', '.join(parts)} SELECT record, mix, rate, "offset", votes FROM s{FINE_RATE_STEPS}"""
+
+
+@query("l03_speed_search", _speed_sql())
+def speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The speed and offset at which every item's landmarks fit every other item's best."""
+    peaks = _peaks(spark, sf_dir)
+    start = peaks.groupBy("item").agg(F.min("frame").alias("start"))
+    own = peaks.join(start, "item").select("item", (F.col("frame") - F.col("start")).alias("frame"), "bin")
+    return joins.speed_search(own, COARSE_RATES, _EARLY, _FINE_LEAST, FINE_RATE_STEP, FINE_RATE_STEPS, stage_table.kept)
+
+
 _TEMPLATES = [("cut", [5.0, 0.01]), ("blend", [25.0, 0.04]), ("long", [45.0, 0.09])]
 
 

@@ -30,7 +30,6 @@ shared("e12b_queue_transitions", _QUEUE.replace("{days}", "datediff(n.now, s.pla
 # --- labels ------------------------------------------------------------------------------------------------
 shared("l01_seam_pairing", f"WITH {PAIRED} SELECT set_id, position, a, b, qb - qa AS gap, CASE WHEN b IS NULL THEN 'last' WHEN a = b THEN 'same record' WHEN abs(qb - qa) > 30 THEN 'gap too long' ELSE 'usable' END AS reason, greatest(0, qb - 25) AS lo, least(qb + 25, 60) AS hi FROM paired")
 shared("l02_confidence", "SELECT set_id, position, CASE WHEN qty >= 40 AND discount >= 0.03E0 THEN 'confident' WHEN qty >= 40 THEN 'by votes' WHEN discount >= 0.05E0 THEN 'by sections' ELSE 'not found' END AS confidence FROM plays")
-shared("l03_speed_search", "WITH r AS (SELECT set_id, track_id, qty * (1 - abs(rate - discount)) AS score, rate FROM plays CROSS JOIN (VALUES (0.0E0), (0.03E0), (0.06E0), (0.09E0)) v(rate)), k AS (SELECT *, row_number() OVER (PARTITION BY set_id, track_id ORDER BY score DESC, rate) AS n FROM r) SELECT set_id, track_id, rate, round(score, 6) AS score FROM k WHERE n = 1")
 shared("l05_seam_labels", f"WITH {PAIRED} SELECT set_id, position, round((qb - qa) / (240.0E0 / 125), 4) AS overlap_bars, CASE WHEN qb - qa > 0 THEN round(qa / (qb - qa), 2) END AS swap_pos FROM paired WHERE b IS NOT NULL")
 shared("l06_signature", f"WITH {PAIRED} SELECT set_id, position, CASE WHEN qb IS NULL THEN 'unmeasured' WHEN abs(qb - qa) > 40 THEN 'unusable' WHEN qb < qa - 20 THEN 'gap' WHEN a = b THEN 'loop' WHEN db > 0.08E0 THEN 'tension' WHEN abs(qb - qa) <= 2 THEN 'cut' WHEN da < 0.02E0 THEN 'centre' WHEN db < da THEN 'late' ELSE 'end' END AS signature FROM paired")
 shared("l07_label_confidence", f"WITH {PAIRED} SELECT set_id, position, CASE WHEN abs(qb - qa) < 2 THEN 'slam' WHEN qb > qa + 15 THEN 'rise' WHEN qb < qa - 15 THEN 'fade' WHEN abs(db - da) <= 0.01E0 THEN 'melt' WHEN db > da THEN 'wave' ELSE 'blend' END AS label, round(least(0.95E0, 0.5E0 + CASE WHEN abs(qb - qa) > 15 THEN 0.2E0 ELSE 0.05E0 END + db), 3) AS confidence FROM paired WHERE b IS NOT NULL")

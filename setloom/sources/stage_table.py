@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts lineage and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/setloom-kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class StageTable:
     """One row per key in a Parquet folder; rows are added or a new version is written, never changed in place."""
 
