@@ -35,7 +35,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +47,7 @@ START, END = 0xFE, 0xFF
 #: The end as a word; it holds white space, so no word of a text equals it.
 END_TOKEN = b" "
 #: Bytes of texts in a batch (or one text), symbols that are looked at once, buckets, batches that one task answers for a bucket.
-BATCH, CHUNK, BUCKETS, SALTED = 16_000_000, 2_000_000, 1024, 4096
+BATCH, CHUNK, BUCKETS, SALTED = 16_000_000, 250_000, 1024, 4096
 #: Steps to a unit of the root of -log10 P, as which a log probability is sent: 16 bits reach 10**-16, and a symbol of
 #: log probability -x is off by 0.00006 times the root of x at most.
 STEPS = 16_384
@@ -62,23 +61,26 @@ def held_out(doc_id: int | None) -> bool:
 
 def symbol_windows(raw: bytes, sizes: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(the last ``depth + 1`` symbols up to every symbol as one number each, each one's text), by chunks."""
-    padded = np.full(len(raw) + len(sizes) * (depth + 1), START, np.uint8)
+    padded = np.full(len(raw) + len(sizes) * (depth + 1) + 8, START, np.uint8)
     ends = np.cumsum(sizes + depth + 1)
-    padded[np.arange(len(raw)) + np.repeat((np.arange(len(sizes)) + 1) * (depth + 1) - 1, sizes)] = np.frombuffer(raw.lower(), np.uint8)
+    at = 0
+    low = np.frombuffer(raw.lower(), np.uint8)
+    for size, end in zip(sizes.tolist(), ends.tolist()):
+        padded[end - 1 - size : end - 1] = low[at : at + size]
+        at += size
     padded[ends - 1] = END
-    for c in range(0, len(padded) - depth, CHUNK):
-        part = padded[c : c + CHUNK + depth]
-        code = np.zeros(len(part) - depth, _U)
-        for k in range(depth + 1):
-            code = (code << _U(8)) | part[k : k + len(code)]
-        real = np.flatnonzero(part[depth:] != START)
-        yield code[real], np.searchsorted(ends, c + depth + real, side="right")
+    eight = np.ndarray((len(padded) - 7,), ">u8", padded, 0, (1,))  # every eight bytes from each byte on
+    total = len(padded) - 8 - depth
+    for c in range(0, total, CHUNK):
+        stop = min(c + CHUNK, total)
+        real = np.flatnonzero(padded[c + depth : stop + depth] != START)
+        yield eight[c:stop].astype(_U)[real] >> _U(8 * (7 - depth)), np.searchsorted(ends, c + depth + real, side="right")
 
 
 def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct codes and the sums of their counts."""
     codes, counts = np.concatenate(codes), np.concatenate(counts)
-    order = np.argsort(codes, kind="stable")
+    order = np.argsort(codes)
     codes = codes[order]
     first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))[: len(codes)])
     return codes[first], np.add.reduceat(counts[order], first) if len(first) else counts
@@ -86,26 +88,29 @@ def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 def distinct_windows(raw: bytes, sizes: np.ndarray, training: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct windows of a batch and how often each stands in training texts."""
-    codes, counts = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    codes, counts, held = [np.zeros(0, _U)], [np.zeros(0, np.int64)], 0
     for code, text in symbol_windows(raw, sizes, depth):
         learns = training[text]
         for part, weight in ((code[learns], 1), (code[~learns], 0)):
             one, n = np.unique(part, return_counts=True)
             codes.append(one)
             counts.append(n * weight)
-        if len(codes) > 6:
+            held += len(one)
+        if held > 2 * len(codes[0]) + 3_000_000:  # what came since outweighs what is merged
             one, n = merged(codes, counts)
-            codes, counts = [one], [n]
+            codes, counts, held = [one], [n], len(one)
     return merged(codes, counts)
 
 
-def numbered_windows(raw: bytes, sizes: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Distinct windows of a batch, and by chunks: its distinct windows, each symbol's number among them, and its text."""
-    chunks = []
+def text_scores(raw: bytes, sizes: np.ndarray, depth: int, codes: np.ndarray, log: np.ndarray) -> np.ndarray:
+    """Sum over each text of its windows' values, given by sorted code."""
+    score = np.zeros(len(sizes))
     for code, text in symbol_windows(raw, sizes, depth):
-        number, known = pd.factorize(code)
-        chunks.append((known, number.astype(np.int32), text.astype(np.int32)))
-    return np.unique(np.concatenate([c[0] for c in chunks])), chunks
+        order = np.argsort(code)  # sought in order, which is many times faster
+        value = np.empty(len(code))
+        value[order] = log[np.searchsorted(codes, code[order])]
+        score += np.bincount(text, value, len(sizes))
+    return score
 
 
 def bucket_of(codes: np.ndarray) -> np.ndarray:
@@ -291,22 +296,22 @@ def score_documents(docs: DataFrame, depth: int = 6, gain: float = 10.0, least_w
         logs = {w: math.log10((c + 0.1) / scale) for w, c in frequent.value.items()}
         for ids, sizes, texts, told in single_rows(batches):
             lengths, raw = opened(sizes, texts)
-            codes, chunks = numbered_windows(raw, lengths, depth)
+            codes, _ = distinct_windows(raw, lengths, np.ones(len(ids), bool), depth)
             order = np.argsort(bucket_of(codes), kind="stable")
             log = np.zeros(len(codes))
             log[order] = -((np.concatenate([unpack(x["packed"], np.uint16)[0] for x in sorted(told, key=lambda x: x["bucket"])]) / STEPS) ** 2)
-            score = np.zeros(len(ids))
-            for known, number, text in chunks:
-                score += np.bincount(text, log[np.searchsorted(codes, known)][number], len(ids))
-            del chunks
+            score = text_scores(raw, lengths, depth, codes, log)
             out, at = [], 0
             for doc, size, tree_score in zip(ids, sizes, score.tolist()):
                 tokens = [*raw[at : at + size].lower().split(), END_TOKEN]
                 at += size
-                near = [logs[w] for w in tokens if w in logs]
-                out.append((doc, held_out(doc), len(tokens), len(near), math.fsum(near), [w for w in tokens if w not in logs] if len(near) < len(tokens) else [], tree_score))
-            for some in range(0, len(out), 1024):
-                yield record_batch(out[some : some + 1024], schema)
+                found = list(map(logs.get, tokens))
+                near = [x for x in found if x is not None]
+                out.append((doc, held_out(doc), len(tokens), len(near), math.fsum(near), [w for w, x in zip(tokens, found) if x is None] if len(near) < len(tokens) else [], tree_score))
+                if len(out) >= 1024:
+                    yield record_batch(out, schema)
+                    out = []
+            yield record_batch(out, schema)
         give_back()
 
     rows = packed.join(answers, "batch").select("ids", "sizes", "texts", "told").mapInArrow(scored, kind)
