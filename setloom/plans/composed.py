@@ -352,7 +352,10 @@ def similarity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*(F.round(c, 5).alias(c) for c in ("mean", "sd", "lo", "hi")))
 
 
-@query("l26_rank_metrics")
+@query("l26_rank_metrics", f"""WITH c AS (SELECT a.vec_id AS q, a.label = b.label AS alike, round({_COSINE}, 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+  r AS (SELECT *, count(*) FILTER (NOT alike) OVER (PARTITION BY q ORDER BY score DESC) AS upto, count(*) FILTER (NOT alike) OVER (PARTITION BY q, score) AS ties, count(*) FILTER (NOT alike) OVER (PARTITION BY q) AS others FROM c),
+  t AS (SELECT 1 + upto - ties AS rank, (2 * (others - upto) + ties) / (2.0 * others) AS area FROM r WHERE alike AND others > 0)
+  SELECT round(avg(area), 6) AS auc, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS hit_at_k, round(avg(1.0 / rank), 6) AS mrr, quantile_cont(rank, 0.5) AS median_rank FROM t""")
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine as a ranker, every vector against all others: same label is relevant; one true and the other labels' vectors."""
     return splits.vector_rank_metrics(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
