@@ -47,7 +47,7 @@ START, END = 0xFE, 0xFF
 #: The end as a word; it holds white space, so no word of a text equals it.
 END_TOKEN = b" "
 #: Bytes of texts in a batch (or one text), symbols that are looked at once, buckets, batches that one task answers for a bucket.
-BATCH, CHUNK, BUCKETS, SALTED = 8_000_000, 250_000, 1024, 4096
+BATCH, CHUNK, BUCKETS, SALTED = 10_000_000, 250_000, 1024, 4096
 #: Steps to a unit of the root of -log10 P, as which a log probability is sent: 16 bits reach 10**-16, and a symbol of
 #: log probability -x is off by 0.00006 times the root of x at most.
 STEPS = 16_384
