@@ -1,6 +1,9 @@
 """Every registered query against its SQL on the smallest tables, by row count and values."""
 
+import datetime
+
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -45,3 +48,23 @@ def test_query(spark, duck, name):
         assert rows(got) == rows(want)
     else:
         assert len(got.columns)
+
+
+def against_sql(spark, folder, name, **tables):
+    """The query and its SQL over tables of a folder of their own."""
+    c = duckdb.connect()
+    for t, pdf in tables.items():
+        pdf.to_parquet(folder / f"{t}.parquet", coerce_timestamps="us")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return rows(catalog.QUERIES[name](spark, str(folder)).toPandas()), rows(c.execute(catalog.ORACLES[name]).df())
+
+
+def test_energy_shape_at_thresholds(spark, tmp_path):
+    """Sets whose correlation is 0.6 but for rounding."""
+    v, p = np.random.default_rng(1).integers(1, 51, (2_000_000, 4)), np.arange(4)
+    cov, vx, vy = 4 * (v * p).sum(1) - 6 * v.sum(1), 20, 4 * (v * v).sum(1) - v.sum(1) ** 2
+    tied = v[(25 * cov * cov == 9 * vx * vy) & (vy > 0)]
+    assert len(tied) > 100
+    lines = [{"l_orderkey": k, "l_partkey": 1, "l_suppkey": 1, "l_linenumber": i, "l_quantity": float(q), "l_extendedprice": 1.0, "l_discount": 0.0, "l_shipdate": datetime.datetime(2020, 1, 1)} for k, r in enumerate(tied) for i, q in enumerate(r)]
+    got, want = against_sql(spark, tmp_path, "l09_energy_shape", lineitem=pd.DataFrame(lines))
+    assert got == want
