@@ -159,3 +159,15 @@ def test_rising_lengths_and_picks_by_array_functions(spark):
             if all(abs(k - t) >= 3 for t in want):
                 want.append(k)
         assert taken[g] == set(want)
+
+
+def test_band_join_deals_a_bucket_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BAND_CELL", 16)
+    rng = random.Random(6)
+    rows = [(k, 0, rng.uniform(100, 104)) for k in range(300)]
+    a = spark.createDataFrame(rows, "id int, g int, x double")
+    met = joins.band_join(a, a.select(F.col("id").alias("other"), "g", F.col("x").alias("y")), ["g"], "x", "y", 0.05, "id <> other")
+    got = met.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.id, r.other) for r in got) == [(p, q) for p in range(300) for q in range(300) if p != q]
+    sizes = [sum(r.task == t for r in got) for t in {r.task for r in got}]
+    assert len(sizes) > 30 and max(sizes) < len(got) / 10
