@@ -171,3 +171,19 @@ def test_band_join_deals_a_bucket_over_tasks(spark, monkeypatch):
     assert sorted((r.id, r.other) for r in got) == [(p, q) for p in range(300) for q in range(300) if p != q]
     sizes = [sum(r.task == t for r in got) for t in {r.task for r in got}]
     assert len(sizes) > 30 and max(sizes) < len(got) / 10
+
+
+@pytest.mark.parametrize("first", [1, 3, 64])
+def test_best_in_band_equals_ranking_the_whole_band(spark, first):
+    rng = random.Random(7)
+    rows = [(k % 190, k % 2, rng.choice("abc"), rng.uniform(90, 180), rng.randint(0, 5)) for k in range(200)]
+    a = spark.createDataFrame(rows, "id int, g int, n string, x double, w int").drop("w")
+    b = spark.createDataFrame(rows, "other int, g int, n2 string, y double, w int")
+    got = joins.best_in_band(a, b, ["g"], "x", "y", 0.05, "id", [("w", True), ("other", False)], "n <> n2", 4, first)
+    from math import log
+
+    want = []
+    for i in range(190):
+        fit = sorted((-q[4], q[0]) for p in rows if p[0] == i for q in rows if p[1] == q[1] and p[2] != q[2] and abs(log(p[3] / q[3])) <= 0.05)
+        want += [(i, -w, o) for w, o in fit[:4]]
+    assert sorted((r.id, r.w, r.other) for r in got.collect()) == sorted(want)
