@@ -187,3 +187,21 @@ def test_best_in_band_equals_ranking_the_whole_band(spark, first):
         fit = sorted((-q[4], q[0]) for p in rows if p[0] == i for q in rows if p[1] == q[1] and p[2] != q[2] and abs(log(p[3] / q[3])) <= 0.05)
         want += [(i, -w, o) for w, o in fit[:4]]
     assert sorted((r.id, r.w, r.other) for r in got.collect()) == sorted(want)
+
+
+def test_negatives_rank_few_pairs(spark):
+    """Keys with thousands of candidates, with fewer than their limit lets pass, with fewer than wanted and with none."""
+    sizes = {1: 3000, 2: 700, 3: 100, 4: 5, 5: 0, 6: 40}
+    every = spark.createDataFrame([(k, o) for k, n in sizes.items() for o in range(n)], "key long, other long")
+    bounds = spark.createDataFrame([(k, 100_000 if k == 6 else 2 * n + 1) for k, n in sizes.items()], "key long, most long")
+    made = []
+
+    def pairs_of(limits, where):
+        pairs = every.withColumn("__end", F.col("other").cast("string")).join(limits, "key")
+        made.append(pairs.where(where) if where else pairs)
+        return made[-1]
+
+    got = sequences.negatives_of(pairs_of, bounds, "key", "other", 9, lambda df: df.localCheckpoint())
+    want = sequences.negatives(every, "key", "other", 9)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert 9 <= made[0].where("key = 1").count() < 300 and {r.key for r in made[1].select("key").distinct().collect()} == {4, 6}
