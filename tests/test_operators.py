@@ -205,3 +205,19 @@ def test_negatives_rank_few_pairs(spark):
     want = sequences.negatives(every, "key", "other", 9)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert 9 <= made[0].where("key = 1").count() < 300 and {r.key for r in made[1].select("key").distinct().collect()} == {4, 6}
+
+
+def test_distinct_orders_are_shuffled_once(spark, tmp_path):
+    """Sixty thousand groups of a few orders, as one group at a time gives them."""
+    rng = random.Random(9)
+    orders = [[float(rng.randint(0, 9)) for _ in range(n)] for n in (1, 2, 3, 5, 8, 13, 70)] + [[4.0, 1.0, 9.0], [2.0, 1.0, 3.0]]
+    want = [(len(v), len(sequences.longest_rising(v)), sequences.median_shuffled(v, 200, 3), sequences.order_chance(v, 200, 3)) for v in orders]
+    ranks = [tuple(sorted(set(v)).index(x) + 1 for x in v) for v in orders]
+    assert [(len(v), *f) for v, f in zip(orders, sequences.order_summaries(ranks, 200, 3))] == want
+    rows = spark.createDataFrame([(g, k, x) for g, v in enumerate(orders) for k, x in reversed(list(enumerate(v)))], "g long, k int, v double")
+    many = rows.crossJoin(spark.range(60_000 // len(orders)).withColumnRenamed("id", "c")).withColumn("id", F.col("c") * len(orders) + F.col("g"))
+    got = sequences.proof_summary(many, "id", "k", "v", 200, 3)
+    plan = got._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan
+    for r in got.groupBy((F.col("id") % len(orders)).alias("g"), "n", "rising", "median_shuffled", "chance").count().collect():
+        assert (r.n, r.rising, r.median_shuffled, r.chance) == want[r.g] and r["count"] == 60_000 // len(orders)
