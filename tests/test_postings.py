@@ -73,6 +73,7 @@ def test_curve_and_rates(spark):
         wanted.append((*pair, n, *tops[n]))
     a = spark.createDataFrame(rated, "item string, h string, frame int, nth int")
     assert sorted(map(tuple, postings.rate_peaks(a, h, 4).collect())) == sorted(wanted)
+    assert sorted(map(tuple, postings.rate_peaks(a, h, 4, 2, 4).collect())) == sorted(w for w in wanted if 2 <= w[-1] < 4)
 
 
 @pytest.mark.parametrize("wide", [1, 10**9])
