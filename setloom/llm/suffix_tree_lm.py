@@ -31,11 +31,11 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +48,8 @@ START, END = 0xFE, 0xFF
 END_TOKEN = b" "
 #: Bytes of texts in a batch (or one text), symbols that are looked at once, buckets, batches that one task answers for a bucket.
 BATCH, CHUNK, BUCKETS, SALTED = 10_000_000, 250_000, 1024, 4096
+#: Windows of a batch that are sorted at once, at least; they bound memory.
+SORTED = 4_000_000
 #: Steps to a unit of the root of -log10 P, as which a log probability is sent: 16 bits reach 10**-16, and a symbol of
 #: log probability -x is off by 0.00006 times the root of x at most.
 STEPS = 16_384
@@ -73,46 +75,98 @@ def symbol_windows(raw: bytes, sizes: np.ndarray, depth: int) -> Iterator[tuple[
     total = len(padded) - 8 - depth
     for c in range(0, total, CHUNK):
         stop = min(c + CHUNK, total)
-        real = np.flatnonzero(padded[c + depth : stop + depth] != START)
-        yield eight[c:stop].astype(_U)[real] >> _U(8 * (7 - depth)), np.searchsorted(ends, c + depth + real, side="right")
+        real = padded[c + depth : stop + depth] != START
+        inside = np.arange(*np.searchsorted(ends, (c + depth, stop + depth - 1), side="right") + (0, 1))  # texts of the chunk
+        symbols = np.minimum(ends[inside], stop + depth) - np.maximum(ends[inside] - sizes[inside] - 1, c + depth)
+        yield eight[c:stop].astype(_U)[real] >> _U(8 * (7 - depth)), np.repeat(inside, np.maximum(symbols, 0))
 
 
 def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct codes and the sums of their counts."""
     codes, counts = np.concatenate(codes), np.concatenate(counts)
-    order = np.argsort(codes)
+    order = np.argsort(codes, kind="stable")  # what is sorted already is merged, many times faster
     codes = codes[order]
     first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))[: len(codes)])
     return codes[first], np.add.reduceat(counts[order], first) if len(first) else counts
 
 
 def distinct_windows(raw: bytes, sizes: np.ndarray, training: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct windows of a batch and how often each stands in training texts."""
-    codes, counts, held = [np.zeros(0, _U)], [np.zeros(0, np.int64)], 0
+    """Distinct windows of a batch, sorted, and how often each stands in training texts."""
+    codes, counts = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    waiting: dict[int, list[np.ndarray]] = {1: [], 0: []}
+    held = 0
+
+    def sort() -> None:
+        for weight, some in waiting.items():
+            if some:
+                one, n = np.unique(np.concatenate(some), return_counts=True)
+                some.clear()
+                codes.append(one)
+                counts.append(n * weight)
+        one, n = merged(codes, counts)
+        codes[:], counts[:] = [one], [n]
+
+    every = bool(training.all())
     for code, text in symbol_windows(raw, sizes, depth):
-        learns = training[text]
-        for part, weight in ((code[learns], 1), (code[~learns], 0)):
-            one, n = np.unique(part, return_counts=True)
-            codes.append(one)
-            counts.append(n * weight)
-            held += len(one)
-        if held > 2 * len(codes[0]) + 500_000:  # what came since outweighs what is merged
-            one, n = merged(codes, counts)
-            codes, counts, held = [one], [n], len(one)
-    return merged(codes, counts)
-
-
-def text_scores(raw: bytes, sizes: np.ndarray, depth: int, codes: np.ndarray, log: np.ndarray) -> np.ndarray:
-    """Sum over each text of its windows' values, given by sorted code."""
+        if every:
+            waiting[1].append(code)
+        else:
+            learns = training[text]
+            waiting[1].append(code[learns])
+            waiting[0].append(code[~learns])
+        held += len(code)
+        if held > SORTED:
+            sort()
+            held = 0
+    sort()
+    return codes[0], counts[0]
+
+
+def text_scores(raw: bytes, sizes: np.ndarray, depth: int, codes: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Sum over each text of its windows' log probabilities, given in steps by sorted code.
+
+    ``codes`` has every window of the texts, so a hashed slot that one code has for itself tells the steps without
+    a comparison; codes of shared slots are sought."""
+    bits = min(max(10, len(codes).bit_length() + 3), 24)
+    slot_of = lambda x: ((x * _U(0x9E3779B97F4A7C15)) >> _U(64 - bits)).astype(np.int64)
+    slot = slot_of(codes)
+    shared = np.zeros(1 << bits, np.uint8)
+    owner = np.zeros(1 << bits, np.int32)
+    owner[slot] = np.arange(len(codes), dtype=np.int32)
+    shared[slot[owner[slot] != np.arange(len(codes), dtype=np.int32)]] = 1
+    del owner
+    told = np.zeros(1 << bits, np.uint16)
+    told[slot] = steps
+    told[shared.view(bool)] = 65_535  # a code of as many steps is sought as well
+    del slot, shared
+    worth = -((np.arange(65_536) / STEPS) ** 2)
     score = np.zeros(len(sizes))
     for code, text in symbol_windows(raw, sizes, depth):
-        order = np.argsort(code)  # sought in order, which is many times faster
-        value = np.empty(len(code))
-        value[order] = log[np.searchsorted(codes, code[order])]
-        score += np.bincount(text, value, len(sizes))
+        found = told[slot_of(code)]
+        unsure = np.flatnonzero(found == 65_535)
+        some = code[unsure]
+        order = np.argsort(some)  # sought in order, which is many times faster
+        found[unsure[order]] = steps[np.searchsorted(codes, some[order])]
+        score += np.bincount(text, worth[found], len(sizes))
     return score
 
 
+def text_words(low: bytes, sizes: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of texts in lower case, the end as the last one; the number of every word in turn, each
+    text's end behind its words; and the words of each text, its end included."""
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    texts = pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(low)])
+    lists = pc.ascii_split_whitespace(texts)
+    cuts = lists.offsets.to_numpy()
+    words = lists.values.slice(cuts[0], cuts[-1] - cuts[0]).cast(pa.large_binary()).dictionary_encode()
+    number, distinct = words.indices.to_numpy(), words.dictionary
+    full = pc.greater(pc.binary_length(distinct), 0).to_numpy(zero_copy_only=False)  # white space at either end leaves an empty word
+    real = full[number] if len(number) else np.zeros(0, bool)
+    before = np.concatenate(([0], np.cumsum(real)))[cuts - cuts[0]]
+    number = np.insert((np.cumsum(full) - 1).astype(np.int32)[number[real]], before[1:], int(full.sum()))
+    return pa.concat_arrays([distinct.filter(pa.array(full)), pa.array([END_TOKEN], pa.large_binary())]), number, np.diff(before) + 1
+
+
 def bucket_of(codes: np.ndarray) -> np.ndarray:
     """The bucket of windows: by the two bytes before the symbol, which all longer contexts share."""
     return ((((codes >> _U(8)) & _U(0xFFFF)) * _U(0x9E3779B97F4A7C15)) >> _U(40)).astype(np.int64) % BUCKETS
@@ -172,26 +226,25 @@ def _ask(packed: DataFrame, depth: int) -> DataFrame:
     schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("packed", pa.binary()), ("word", pa.binary()), ("pair", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[bytes] = Counter()
         pairs = np.zeros(65_536, np.int64)
         for number, ids, sizes, texts in single_rows(batches):
             sizes, raw = opened(sizes, texts)
             training = np.array([not held_out(i) for i in ids], bool)
-            ends = np.cumsum(sizes).tolist()
-            for end, size, learns in zip(ends, sizes.tolist(), training.tolist()):
-                if learns:
-                    words.update(raw[end - size : end].lower().split())
-                    words[END_TOKEN] += 1
+            words, of, each = text_words(raw.lower(), sizes)
+            n = np.bincount(of, np.repeat(training, each), len(words)).astype(np.int64)
+            words, n = words.filter(pa.array(n > 0)).cast(pa.binary()), pa.array(n[n > 0])
+            for at in range(0, len(n), 100_000):
+                some = {"word": words.slice(at, 100_000), "n": n.slice(at, 100_000)}
+                rows = len(some["n"])
+                yield pa.RecordBatch.from_arrays([some.get(f.name, pa.nulls(rows, f.type)) for f in schema], schema=schema)
+            del words, of, each, n
             codes, counts = distinct_windows(raw, sizes, training, depth)
             pairs += np.bincount((codes & _U(0xFFFF)).astype(np.int64), counts, 65_536).astype(np.int64)
             bucket = bucket_of(codes)
-            order = np.argsort(bucket, kind="stable")
+            order = np.argsort(bucket.astype(np.uint16), kind="stable")
             codes, counts = codes[order], counts[order]
             yield record_batch([(b, number, pack(codes[x], counts[x].astype(np.uint32)), None, None, None) for b, x in parts(bucket[order])], schema)
-            if len(words) > 200_000:
-                yield record_batch([(None, None, None, w, None, n) for w, n in words.items()], schema)
-                words.clear()
-        yield record_batch([(None, None, None, w, None, n) for w, n in words.items()] + [(None, None, None, None, int(k), int(pairs[k])) for k in np.flatnonzero(pairs)], schema)
+        yield record_batch([(None, None, None, None, int(k), int(pairs[k])) for k in np.flatnonzero(pairs)], schema)
         give_back()
 
     return materialize(packed.select("batch", "ids", "sizes", "texts").mapInArrow(run, "bucket int, batch bigint, packed binary, word binary, pair int, n bigint"))
@@ -287,31 +340,32 @@ def score_documents(docs: DataFrame, depth: int = 6, gain: float = 10.0, least_w
     discard(found)
     discard(tree)
     answers = answered.groupBy("batch").agg(F.collect_list(F.struct("bucket", "packed")).alias("told"))
-    frequent = spark.sparkContext.broadcast(dict(zip(common.column("word").to_pylist(), common.column("c").to_pylist())))
     scale = total + 0.1 * (distinct + 1)
+    frequent = spark.sparkContext.broadcast((common.column("word").combine_chunks().cast(pa.large_binary()), [math.log10((c + 0.1) / scale) for c in common.column("c").to_pylist()]))
     kind = "doc_id bigint, held_out boolean, n_tokens bigint, near bigint, near_score double, rare array<binary>, score double"
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("near", pa.int64()), ("near_score", pa.float64()), ("rare", pa.list_(pa.binary())), ("score", pa.float64())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = {w: math.log10((c + 0.1) / scale) for w, c in frequent.value.items()}
+        logs = np.array([*frequent.value[1], 0.0])  # all but the last, for words that aren't here, are below zero
         for ids, sizes, texts, told in single_rows(batches):
             lengths, raw = opened(sizes, texts)
             codes, _ = distinct_windows(raw, lengths, np.ones(len(ids), bool), depth)
-            order = np.argsort(bucket_of(codes), kind="stable")
-            log = np.zeros(len(codes))
-            log[order] = -((np.concatenate([unpack(x["packed"], np.uint16)[0] for x in sorted(told, key=lambda x: x["bucket"])]) / STEPS) ** 2)
-            score = text_scores(raw, lengths, depth, codes, log)
-            out, at = [], 0
-            for doc, size, tree_score in zip(ids, sizes, score.tolist()):
-                tokens = [*raw[at : at + size].lower().split(), END_TOKEN]
-                at += size
-                found = list(map(logs.get, tokens))
-                near = [x for x in found if x is not None]
-                out.append((doc, held_out(doc), len(tokens), len(near), math.fsum(near), [w for w, x in zip(tokens, found) if x is None] if len(near) < len(tokens) else [], tree_score))
-                if len(out) >= 1024:
-                    yield record_batch(out, schema)
-                    out = []
-            yield record_batch(out, schema)
+            order = np.argsort(bucket_of(codes).astype(np.uint16), kind="stable")
+            steps = np.zeros(len(codes), np.uint16)
+            steps[order] = np.concatenate([unpack(x["packed"], np.uint16)[0] for x in sorted(told, key=lambda x: x["bucket"])])
+            score = text_scores(raw, lengths, depth, codes, steps)
+            del codes, order, steps, told
+            words, number, each = text_words(raw.lower(), lengths)
+            value = logs[pc.fill_null(pc.index_in(words, frequent.value[0]), -1).to_numpy()[number]]
+            last = np.cumsum(each)
+            rare = number[value == 0]
+            upto = np.cumsum(value == 0)[last - 1]
+            sums = [math.fsum(value[a:b].tolist()) for a, b in zip((last - each).tolist(), last.tolist())]
+            for at in range(0, len(ids), 1024):
+                x = slice(at, at + 1024)
+                cuts = np.concatenate(([upto[at - 1] if at else 0], upto[x]))
+                lists = pa.ListArray.from_arrays(pa.array(cuts - cuts[0], pa.int32()), words.take(pa.array(rare[cuts[0] : cuts[-1]])).cast(pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x], pa.int64()), pa.array([held_out(i) for i in ids[x]], pa.bool_()), pa.array(each[x]), pa.array(each[x] - np.diff(cuts)), pa.array(sums[x], pa.float64()), lists, pa.array(score[x])], schema=schema)
         give_back()
 
     rows = packed.join(answers, "batch").select("ids", "sizes", "texts", "told").mapInArrow(scored, kind)

@@ -235,6 +235,35 @@ def test_language_model(spark, docs, rows, nothing, monkeypatch, salted, chunk):
         assert suffix_tree_lm.score_documents(nothing).count() == 0
 
 
+def test_words_of_a_batch_are_counted_without_python_objects():
+    texts = [b"", b"  \t", b"a b a", b"\x1ca\x0b\x0cb\n", "\u00a0x \u2003 é".encode(), b"a"]
+    words, number, each = suffix_tree_lm.text_words(b"".join(texts), np.array([len(t) for t in texts]))
+    want = [[*t.split(), b" "] for t in texts]
+    assert each.tolist() == [len(w) for w in want]
+    assert words.take(suffix_tree_lm.pa.array(number)).to_pylist() == sum(want, []) and len(set(words.to_pylist())) == len(words)
+    words, number, each = suffix_tree_lm.text_words(b"", np.array([0]))
+    assert words.to_pylist() == [b" "] and number.tolist() == [0] and each.tolist() == [1]
+
+
+@pytest.mark.parametrize("waiting", [1, 300, 4_000_000])
+def test_windows_are_sorted_once_and_scored_by_slots(monkeypatch, waiting):
+    """Whatever is sorted at once; slots that several windows share, and the largest step, are told apart."""
+    monkeypatch.setattr(suffix_tree_lm, "SORTED", waiting)
+    monkeypatch.setattr(suffix_tree_lm, "CHUNK", 170)
+    rng = random.Random(4)
+    texts = [bytes(rng.choices(b"abcdefgh", k=rng.randint(0, 400))) for _ in range(30)] + [b"", b"x"]
+    training = np.array([rng.random() < 0.7 for _ in texts])
+    plain = [[int.from_bytes((b"\xfe" * 7 + t + b"\xff")[k : k + 8], "big") for k in range(len(t) + 1)] for t in texts]
+    raw, sizes = b"".join(texts), np.array([len(t) for t in texts])
+    codes, counts = suffix_tree_lm.distinct_windows(raw, sizes, training, 7)
+    learnt = Counter(x for t, learns in zip(plain, training) if learns for x in t)
+    assert codes.tolist() == sorted({x for t in plain for x in t}) and counts.tolist() == [learnt[x] for x in codes.tolist()]
+    steps = np.array([rng.choice((0, 5, 40_000, 65_535)) for _ in codes], np.uint16)
+    value = dict(zip(codes.tolist(), (-((steps / suffix_tree_lm.STEPS) ** 2)).tolist()))
+    got = suffix_tree_lm.text_scores(raw, sizes, 7, codes, steps)
+    assert np.allclose(got, [sum(value[x] for x in t) for t in plain], rtol=1e-12)
+
+
 def test_tree_is_a_distribution():
     """All 256 symbols after any context, seen or not, sum to one."""
     raw, sizes = b"ababababababcabcbbbb" * 5, np.array([40, 30, 30])
