@@ -49,7 +49,7 @@ END_TOKEN = b" "
 #: Bytes of texts in a batch (or one text), symbols that are looked at once, buckets, batches that one task answers for a bucket.
 BATCH, CHUNK, BUCKETS, SALTED = 10_000_000, 250_000, 1024, 4096
 #: Windows of a batch that are sorted at once, at least; they bound memory.
-SORTED = 4_000_000
+SORTED = 1_000_000
 #: Steps to a unit of the root of -log10 P, as which a log probability is sent: 16 bits reach 10**-16, and a symbol of
 #: log probability -x is off by 0.00006 times the root of x at most.
 STEPS = 16_384
@@ -70,6 +70,7 @@ def symbol_windows(raw: bytes, sizes: np.ndarray, depth: int) -> Iterator[tuple[
     for size, end in zip(sizes.tolist(), ends.tolist()):
         padded[end - 1 - size : end - 1] = low[at : at + size]
         at += size
+    del low
     padded[ends - 1] = END
     eight = np.ndarray((len(padded) - 7,), ">u8", padded, 0, (1,))  # every eight bytes from each byte on
     total = len(padded) - 8 - depth
@@ -92,19 +93,26 @@ def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 def distinct_windows(raw: bytes, sizes: np.ndarray, training: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct windows of a batch, sorted, and how often each stands in training texts."""
-    codes, counts = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    codes, counts = np.zeros(0, _U), np.zeros(0, np.int64)
     waiting: dict[int, list[np.ndarray]] = {1: [], 0: []}
     held = 0
 
     def sort() -> None:
+        nonlocal codes, counts
         for weight, some in waiting.items():
             if some:
-                one, n = np.unique(np.concatenate(some), return_counts=True)
+                one = np.concatenate(some)
                 some.clear()
-                codes.append(one)
-                counts.append(n * weight)
-        one, n = merged(codes, counts)
-        codes[:], counts[:] = [one], [n]
+                one.sort()
+                first = np.flatnonzero(np.concatenate(([True], one[1:] != one[:-1]))[: len(one)])
+                n = np.diff(first, append=len(one)) * weight
+                one = one[first]
+                at = np.searchsorted(codes, one)
+                new = np.ones(len(one), bool)
+                within = at < len(codes)
+                new[within] = codes[at[within]] != one[within]
+                counts[at[~new]] += n[~new]
+                codes, counts = np.insert(codes, at[new], one[new]), np.insert(counts, at[new], n[new])
 
     every = bool(training.all())
     for code, text in symbol_windows(raw, sizes, depth):
@@ -119,26 +127,23 @@ def distinct_windows(raw: bytes, sizes: np.ndarray, training: np.ndarray, depth:
             sort()
             held = 0
     sort()
-    return codes[0], counts[0]
+    return codes, counts
 
 
 def text_scores(raw: bytes, sizes: np.ndarray, depth: int, codes: np.ndarray, steps: np.ndarray) -> np.ndarray:
     """Sum over each text of its windows' log probabilities, given in steps by sorted code.
 
-    ``codes`` has every window of the texts, so a hashed slot that one code has for itself tells the steps without
-    a comparison; codes of shared slots are sought."""
+    ``codes`` has every window of the texts, so a hashed slot whose codes all have the same steps tells them without
+    a comparison; codes of other slots are sought."""
     bits = min(max(10, len(codes).bit_length() + 3), 24)
     slot_of = lambda x: ((x * _U(0x9E3779B97F4A7C15)) >> _U(64 - bits)).astype(np.int64)
-    slot = slot_of(codes)
-    shared = np.zeros(1 << bits, np.uint8)
-    owner = np.zeros(1 << bits, np.int32)
-    owner[slot] = np.arange(len(codes), dtype=np.int32)
-    shared[slot[owner[slot] != np.arange(len(codes), dtype=np.int32)]] = 1
-    del owner
     told = np.zeros(1 << bits, np.uint16)
-    told[slot] = steps
-    told[shared.view(bool)] = 65_535  # a code of as many steps is sought as well
-    del slot, shared
+    some = [slice(at, at + CHUNK) for at in range(0, len(codes), CHUNK)]
+    for x in some:
+        told[slot_of(codes[x])] = steps[x]
+    for x in some:  # a slot has the steps of its last code, or is marked; every code of other steps marks it
+        slot = slot_of(codes[x])
+        told[slot[told[slot] != steps[x]]] = 65_535  # a code of as many steps is sought as well
     worth = -((np.arange(65_536) / STEPS) ** 2)
     score = np.zeros(len(sizes))
     for code, text in symbol_windows(raw, sizes, depth):
@@ -231,6 +236,7 @@ def _ask(packed: DataFrame, depth: int) -> DataFrame:
             sizes, raw = opened(sizes, texts)
             training = np.array([not held_out(i) for i in ids], bool)
             words, of, each = text_words(raw.lower(), sizes)
+            give_back()
             n = np.bincount(of, np.repeat(training, each), len(words)).astype(np.int64)
             words, n = words.filter(pa.array(n > 0)).cast(pa.binary()), pa.array(n[n > 0])
             for at in range(0, len(n), 100_000):
@@ -238,12 +244,15 @@ def _ask(packed: DataFrame, depth: int) -> DataFrame:
                 rows = len(some["n"])
                 yield pa.RecordBatch.from_arrays([some.get(f.name, pa.nulls(rows, f.type)) for f in schema], schema=schema)
             del words, of, each, n
+            give_back()
             codes, counts = distinct_windows(raw, sizes, training, depth)
             pairs += np.bincount((codes & _U(0xFFFF)).astype(np.int64), counts, 65_536).astype(np.int64)
             bucket = bucket_of(codes)
             order = np.argsort(bucket.astype(np.uint16), kind="stable")
             codes, counts = codes[order], counts[order]
             yield record_batch([(b, number, pack(codes[x], counts[x].astype(np.uint32)), None, None, None) for b, x in parts(bucket[order])], schema)
+            del raw, codes, counts, bucket, order  # or they stay while the next batch is read
+            give_back()
         yield record_batch([(None, None, None, None, int(k), int(pairs[k])) for k in np.flatnonzero(pairs)], schema)
         give_back()
 
@@ -355,7 +364,9 @@ def score_documents(docs: DataFrame, depth: int = 6, gain: float = 10.0, least_w
             steps[order] = np.concatenate([unpack(x["packed"], np.uint16)[0] for x in sorted(told, key=lambda x: x["bucket"])])
             score = text_scores(raw, lengths, depth, codes, steps)
             del codes, order, steps, told
+            give_back()
             words, number, each = text_words(raw.lower(), lengths)
+            give_back()
             value = logs[pc.fill_null(pc.index_in(words, frequent.value[0]), -1).to_numpy()[number]]
             last = np.cumsum(each)
             rare = number[value == 0]
@@ -366,7 +377,8 @@ def score_documents(docs: DataFrame, depth: int = 6, gain: float = 10.0, least_w
                 cuts = np.concatenate(([upto[at - 1] if at else 0], upto[x]))
                 lists = pa.ListArray.from_arrays(pa.array(cuts - cuts[0], pa.int32()), words.take(pa.array(rare[cuts[0] : cuts[-1]])).cast(pa.binary()))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[x], pa.int64()), pa.array([held_out(i) for i in ids[x]], pa.bool_()), pa.array(each[x]), pa.array(each[x] - np.diff(cuts)), pa.array(sums[x], pa.float64()), lists, pa.array(score[x])], schema=schema)
-        give_back()
+            del raw, score, words, number, each, value, last, rare, upto, sums, lists
+            give_back()
 
     rows = packed.join(answers, "batch").select("ids", "sizes", "texts", "told").mapInArrow(scored, kind)
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))

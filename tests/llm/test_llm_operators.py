@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -264,6 +265,26 @@ def test_windows_are_sorted_once_and_scored_by_slots(monkeypatch, waiting):
     assert np.allclose(got, [sum(value[x] for x in t) for t in plain], rtol=1e-12)
 
 
+def test_windows_of_a_batch_fit_a_worker():
+    """Two workers share with their JVM what an executor may take: a whole batch takes each of them little."""
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in rng.integers(2, 9, 20_000)]
+    raw = b" ".join(words[i] for i in (20_000 * rng.random(2_500_000) ** 12).astype(int).tolist())[: suffix_tree_lm.BATCH]
+    sizes = np.full(1000, len(raw) // 1000)
+    raw = raw[: sizes.sum()]
+    tracemalloc.start()
+    try:
+        codes, counts = suffix_tree_lm.distinct_windows(raw, sizes, np.arange(1000) % 10 > 0, 6)
+        kept, windows = tracemalloc.get_traced_memory()
+        tracemalloc.reset_peak()
+        suffix_tree_lm.text_scores(raw, sizes, 6, codes, (codes % np.uint64(30_000)).astype(np.uint16))
+        scores = tracemalloc.get_traced_memory()[1] - kept
+    finally:
+        tracemalloc.stop()
+    assert len(raw) > 0.99 * suffix_tree_lm.BATCH and len(codes) > 1_000_000 and counts.sum() == 0.9 * (len(raw) + 1000)
+    assert windows < 100e6 and scores < 80e6
+
+
 def test_tree_is_a_distribution():
     """All 256 symbols after any context, seen or not, sum to one."""
     raw, sizes = b"ababababababcabcbbbb" * 5, np.array([40, 30, 30])
