@@ -556,6 +556,33 @@ def test_a_list_that_everything_is_in_stays_linear(spark):
     assert jaccard_join._cross_pairs(lists, groups, 90).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 1024])
+def test_bands_of_sizes_lose_no_link(spark, monkeypatch, hot):
+    """All lists in bands: nested texts whose sizes are just near enough to link, or just not, beside changed ones."""
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "BANDED", 0)
+    rng, rows = random.Random(4), []
+    for f in range(8):
+        base = [f"f{f}w{k}" for k in range(103)]
+        for n in rng.sample(range(40, 104), 14):
+            w = base[:n]
+            for _ in range(rng.choice((0, 0, 1, 2))):
+                w[rng.randrange(n)] = f"x{rng.randrange(9)}"
+            rows.append((len(rows), " ".join(w)))
+        rows += [(len(rows) + k, " ".join(base[: n + 2])) for k, n in enumerate((100, 90, 81, 80))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = jaccard_join.join(docs, heavy=1e-2).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows)
+
+
+def test_pairs_need_many_common_prefix_members(spark):
+    """Unlike sets too large for the short sketch that share one member make no pairs; the two that share half their prefix do."""
+    lists = spark.range(100).selectExpr("7L as token", "id as g", "3000L as size", "0 as pos")
+    lists = lists.unionByName(spark.range(300).selectExpr("1000 + id div 2 as token", "id % 2 as g", "3000L as size", "cast(1 + id div 2 as int) as pos"))
+    groups = spark.range(100).selectExpr("id as g", "id as low", "id as high", "array(0L, 0L, 0L, 0L) as few", "false as crowd")
+    assert [tuple(r) for r in jaccard_join._cross_pairs(lists, groups, 90).collect()] == [(0, 1)]
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a bigint, b bigint")
     got = {r.node: r.label for r in jaccard_join.components(links).collect()}
